@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import language_id, packing, url_filter
 
-MODULES = (url_filter,)
+MODULES = (packing, language_id, url_filter)
 
 
 def queries() -> dict:
