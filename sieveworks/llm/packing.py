@@ -82,7 +82,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     rows.append((key, number, start, length, own.astype(np.int32) if with_ids else zlib.crc32(own.tobytes())))
             yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", last.split()[0]])
 
-    return docs.select(id_col, text_col).mapInPandas(tokenise, f"{id_col} {id_type}, piece int, start long, length long, {last}")
+    # ids travel as text: pandas would turn longs into doubles beside a null
+    rows = docs.select(F.col(id_col).cast("string").alias(id_col), text_col)
+    out = rows.mapInPandas(tokenise, f"{id_col} string, piece int, start long, length long, {last}")
+    return out.withColumn(id_col, F.col(id_col).cast(id_type))
 
 
 class RoomTree:
