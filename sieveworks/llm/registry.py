@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, lm_score, packing, url_filter
+from . import language_id, lm_score, near_dup, packing, url_filter
 
-MODULES = (packing, language_id, lm_score, url_filter)
+MODULES = (packing, language_id, lm_score, url_filter, near_dup)
 
 
 def queries() -> dict:
