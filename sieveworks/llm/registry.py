@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, lm_score, near_dup, packing, url_filter
+from . import decontaminate, language_id, line_dedup, lm_score, near_dup, packing, url_filter
 
-MODULES = (packing, decontaminate, language_id, lm_score, url_filter, near_dup)
+MODULES = (packing, line_dedup, decontaminate, language_id, lm_score, url_filter, near_dup)
 
 
 def queries() -> dict:
