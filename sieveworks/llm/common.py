@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_or_empty(name: str = "text"):
-    """The column, with the empty string for null."""
-    return F.coalesce(F.col(name), F.lit(""))
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the cluster's shared folder and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-tables")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +45,6 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """The rows if there are at most ``limit`` of them, else None.
-
-    At most ``limit + 1`` rows ever reach the driver.
-    """
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def salt_of(columns: Iterable[str], salts: int):
     """A stable salt in [0, salts) from the given columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
