@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, lm_score, near_dup, neighbours, packing, url_filter
+from . import decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, url_filter
 
-MODULES = (packing, line_dedup, neighbours, decontaminate, language_id, lm_score, url_filter, near_dup)
+MODULES = (html_extract, packing, line_dedup, neighbours, decontaminate, language_id, lm_score, url_filter, near_dup)
 
 
 def queries() -> dict:
