@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import selection
+
 FLAGSHIP = "balanced_clean_selection"
+MODULES = (selection,)
 
 
 def queries() -> dict:
     """Name to callable(spark, sf_dir)."""
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
