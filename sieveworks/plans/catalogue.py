@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import selection
+from . import evaluation, selection
 
 FLAGSHIP = "balanced_clean_selection"
-MODULES = (selection,)
+MODULES = (selection, evaluation)
 
 
 def queries() -> dict:
