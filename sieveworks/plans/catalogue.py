@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, selection
+from . import evaluation, programs, selection
 
 FLAGSHIP = "balanced_clean_selection"
-MODULES = (selection, evaluation)
+MODULES = (selection, evaluation, programs)
 
 
 def queries() -> dict:
