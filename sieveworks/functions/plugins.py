@@ -6,9 +6,10 @@ expressions or pandas UDFs); the defaults work on any text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +58,6 @@ def score_once(rows: DataFrame, column: str, scorer: Callable[[Column], Column],
 
 def model_scorer(load: Callable[[], Callable], return_type: str = "double") -> Callable[[Column], Column]:
     """A scorer whose model every worker loads once. Load only files you trust."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf(return_type)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()

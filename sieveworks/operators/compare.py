@@ -149,8 +149,8 @@ def headline_promotion(strict: Column, edit: Column, is_full: Column, integrity:
 
 def pick_checkpoint(rows: DataFrame, step: str, strict: str, edit: str, safe: Sequence[str]) -> DataFrame:
     """The safe checkpoint with the largest gain, then the larger weaker gain, then the earlier step."""
-    key = F.struct(all_of([F.col(s) for s in safe]).cast("int"), F.col(strict), F.least(strict, edit), -F.col(step))
-    return rows.agg(F.max_by(step, key).alias(step), F.max(key).alias("_k")).select(step, (F.col("_k.col1") == 1).alias("safe"), F.col("_k.col2").alias("gain"))
+    key = F.struct(all_of([F.col(s) for s in safe]).cast("int").alias("safe"), F.col(strict).alias("gain"), F.least(strict, edit).alias("weaker"), (-F.col(step)).alias("early"))
+    return rows.agg(F.max_by(step, key).alias(step), F.max(key).alias("_k")).select(step, (F.col("_k.safe") == 1).alias("safe"), F.col("_k.gain").alias("gain"))
 
 
 def arm_contrasts(rows: DataFrame, arm: str, metric: str, value: str, contrasts: Sequence[tuple[str, str]]) -> DataFrame:

@@ -292,7 +292,7 @@ SQL = {
     "reward_channels": f"SELECT p_partkey, CAST(CASE WHEN mode = 'edit' THEN 11 ELSE 5 END AS INTEGER) AS n, round(CASE WHEN NOT valid THEN 0.0::DOUBLE ELSE {_CHANNELS} + CASE WHEN mode = 'edit' THEN {_CH_EDIT} ELSE 0 END END, 9) AS scalar FROM {_SCORE}",
     "losses": """
 WITH e AS (SELECT event_id, event_type, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events), r AS (SELECT *, (k - 50) / 25 AS r, k % 2 AS a, CAST(event_id % 3 = 0 AS DOUBLE) AS c FROM e)
-SELECT event_id, round(exp(-r) + r - 1, 9) AS kl, round(greatest(0, 0.5::DOUBLE + r + value / 100) * CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END, 9) AS hinge, round((value * a + (value + 1) * c) / greatest(a + c, 1), 9) AS masked,
+SELECT event_id, round(exp(-r) + r - 1, 9) AS kl, round(greatest(0, 0.5::DOUBLE + r - value / 100) * CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END, 9) AS hinge, round((value * a + (value + 1) * c) / greatest(a + c, 1), 9) AS masked,
 CASE WHEN event_id * 8 % 13 = 0 THEN event_id * 8 // 13 END AS per_bucket, round(CASE WHEN k <> 50 THEN value / (k - 50) END, 9) AS ratio FROM r""",
     "alias_normalise": f"SELECT p_partkey, {_alias(SPELLINGS, lambda w: programs.PROPERTY_NAMES.get(_plain(w), ''))}[p_partkey % 8 + 1] AS property, {_alias(WORDS, lambda w: _dirs.get(_plain(w), ''))}[p_partkey % 8 + 1] AS direction, [true, false, true, true, false, false][p_partkey % 6 + 1] AS yes FROM part",
     "task_key_label": f"SELECT p_partkey, label, label IN ({', '.join(repr(x) for x in programs.REGISTERED_TASKS)}) AS registered, sha256(js) AS hash FROM (SELECT p_partkey, {_LABEL} AS label, {_JSON} AS js FROM {_TWO})",
@@ -300,7 +300,7 @@ CASE WHEN event_id * 8 % 13 = 0 THEN event_id * 8 // 13 END AS per_bucket, round
     "strict_response_parse": """
 WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'MODIFY' ELSE 'BUILD' END AS want, CASE WHEN p_partkey % 3 = 0 THEN 'BUILD' ELSE 'MODIFY' END AS plan, p_partkey % 7 <> 0 AS whole, replace(p_name, ' ', '_') AS name FROM part)
 SELECT p_partkey, whole AND plan = want AS strict_parse, whole AND plan = want AS valid, whole AND plan = want AS canonical, CASE WHEN whole AND plan = want THEN name ELSE '' END AS smiles, '{"plan":"' || want || '","smiles":"' || name || '"}' AS answer FROM p""",
-    "last_tag_extract": "SELECT page_id, md5(trim(m[len(m)])) AS last_md5 FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p>\\s*(.*?)\\s*</p>', 1) AS m FROM pages)",
+    "last_tag_extract": "SELECT page_id, md5(trim(CASE WHEN len(m) > 0 THEN m[len(m)] ELSE string_split(html, chr(10))[1] END)) AS last_md5 FROM (SELECT page_id, html, regexp_extract_all(html, '(?is)<p>\\s*(.*?)\\s*</p>', 1) AS m FROM pages)",
     "clause_texts": f"SELECT p_partkey, ['raise size', 'raise size and lower price', 'raise size, lower price and keep brand'][p_size % 3 + 1] AS clauses, {_lst(TEMPLATES)}[p_size % 3 + 1] AS instruction, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS number, 'a=b' AS value FROM part",
     "message_contract_check": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) = 'user,assistant' AND bool_and(length(trim(text)) > 0) AS is_pair, conv_id % 3 <> 0 AND arg_min(role, turn) <> 'assistant' AS blind, count(*) AS turns FROM conversations GROUP BY conv_id",
     "prompt_messages": f"""SELECT p_partkey, '{{"conditions":' || {_JSON} || ',"source":"' || CASE WHEN p_size % 2 = 0 THEN '<EMPTY>' ELSE p_brand END || '"}}' AS content, CASE WHEN p_size % 2 = 0 THEN 'de_novo' ELSE 'edit' END AS mode, CAST(2 AS INTEGER) AS conditions FROM {_TWO}""",
