@@ -129,10 +129,21 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 GRAPH = "node long, packed binary, ids binary, near binary, changed int"
+#: What nodes are offered, packed by the partition that the offered nodes are in.
+OFFERS = "part int, owner binary, ids binary, near binary"
 
 
-def _start(nodes: DataFrame, n: int) -> DataFrame:
-    """Best neighbours inside random blocks: ``node, ids, near``."""
+def _packed(owner: np.ndarray, found: np.ndarray, near: np.ndarray, parts: int) -> pd.DataFrame:
+    """Offers as one row for each partition of their owners."""
+    part = owner % parts
+    order = np.argsort(part, kind="stable")
+    keys, first = np.unique(part[order], return_index=True)
+    cut = lambda x, kind: [v.astype(kind).tobytes() for v in np.split(x[order], first[1:])] if len(keys) else []
+    return pd.DataFrame({"part": keys.astype(np.int32), "owner": cut(owner, np.int64), "ids": cut(found, np.int64), "near": cut(near, np.float32)})
+
+
+def _start(nodes: DataFrame, n: int, parts: int) -> DataFrame:
+    """Best neighbours inside random blocks, as offers."""
     blocks = max(1, n // START_BLOCK)
     dealt = nodes.select("node", "packed", F.explode(F.sequence(F.lit(1), F.lit(STARTS if blocks > 1 else 1))).alias("t"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "t"), F.lit(blocks)))
@@ -142,12 +153,10 @@ def _start(nodes: DataFrame, n: int) -> DataFrame:
         near = x @ x.T
         np.fill_diagonal(near, -2)
         k = min(DEGREE, len(ids) - 1)
-        if k < 1:
-            return pd.DataFrame({"node": ids, "ids": [b""] * len(ids), "near": [b""] * len(ids)})
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"node": ids, "ids": [r.tobytes() for r in ids[at]], "near": [r.tobytes() for r in np.take_along_axis(near, at, 1)]})
+        at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
+        return _packed(np.repeat(ids, k), ids[at].reshape(-1), np.take_along_axis(near, at, 1).reshape(-1), parts)
 
-    return dealt.groupBy("t", "block").applyInPandas(compare, "node long, ids binary, near binary")
+    return dealt.groupBy("t", "block").applyInPandas(compare, OFFERS)
 
 
 def _merged(graph: DataFrame, offers: DataFrame, parts: int) -> DataFrame:
@@ -157,19 +166,23 @@ def _merged(graph: DataFrame, offers: DataFrame, parts: int) -> DataFrame:
         rows = _whole(batches)
         if rows is None:
             return
-        own = rows[rows["packed"].notna()]
-        lists = rows[rows["ids"].notna()]
-        owner, found, near = _flat(lists["node"].to_numpy(), lists["ids"].tolist(), lists["near"].tolist())
-        out = own[["node", "packed"]].merge(_lists(*best(owner, found, near, DEGREE)), on="node", how="left")
-        before = dict(zip(own["node"], own["ids"]))
-        out["ids"] = [x if isinstance(x, bytes) else b"" for x in out["ids"]]
-        out["near"] = [x if isinstance(x, bytes) else b"" for x in out["near"]]
-        out["changed"] = [len(np.setdiff1d(np.frombuffer(a, np.int64), np.frombuffer(before[v] or b"", np.int64))) for v, a in zip(out["node"], out["ids"])]
+        own, offered = rows[rows["packed"].notna()], rows[rows["owner"].notna()]
+        before = [x or b"" for x in own["ids"]]
+        owner, found, near = _flat(own["node"].to_numpy(np.int64), before, [x or b"" for x in own["near"]])
+        owner = np.concatenate((owner, np.frombuffer(b"".join(offered["owner"]), np.int64)))
+        found = np.concatenate((found, np.frombuffer(b"".join(offered["ids"]), np.int64)))
+        near = np.concatenate((near, np.frombuffer(b"".join(offered["near"]), np.float32)))
+        lists = _lists(*best(owner, found, near, DEGREE)).set_index("node")
+        out = own[["node", "packed"]].copy()
+        out["node"] = out["node"].astype("int64")
+        for c in ("ids", "near"):
+            out[c] = [x if isinstance(x, bytes) else b"" for x in lists[c].reindex(out["node"])]
+        out["changed"] = [len(np.setdiff1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))) for a, b in zip(out["ids"], before)]
         yield out
 
-    blank = F.lit(None).cast("binary").alias("packed")
-    rows = graph.select("node", "packed", "ids", "near").unionByName(offers.select("node", blank, "ids", "near"))
-    return rows.repartition(parts, "node").mapInPandas(merge, GRAPH)
+    part = F.pmod("node", F.lit(parts)).cast("int").alias("part")
+    rows = graph.select(part, "node", "packed", "ids", "near").unionByName(offers.withColumn("node", F.lit(0).cast("long")), allowMissingColumns=True)
+    return rows.repartition(parts, "part").mapInPandas(merge, GRAPH)
 
 
 def _offers(graph: DataFrame, parts: int, number: int) -> DataFrame:
@@ -215,9 +228,9 @@ def _offers(graph: DataFrame, parts: int, number: int) -> DataFrame:
             owner.append(o)
             found.append(f)
             near.append(c)
-        yield _lists(*best(np.concatenate(owner), np.concatenate(found), np.concatenate(near), DEGREE // 2))
+        yield _packed(*best(np.concatenate(owner), np.concatenate(found), np.concatenate(near), DEGREE // 2), parts)
 
-    return met.repartition(parts, "centre").mapInPandas(compare, "node long, ids binary, near binary")
+    return met.repartition(parts, "centre").mapInPandas(compare, OFFERS)
 
 
 def _with_least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +244,7 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     parts = max(1, -(-n // NODES_PER_PART))
     empty = F.lit(None).cast("binary")
-    graph = checkpointed(_merged(nodes.select("node", "packed", empty.alias("ids"), empty.alias("near")), _start(nodes, n), parts))
+    graph = checkpointed(_merged(nodes.select("node", "packed", empty.alias("ids"), empty.alias("near")), _start(nodes, n, parts), parts))
     for number in range(ROUNDS if n > START_BLOCK else 0):
         graph = checkpointed(_merged(graph, _offers(graph, parts, number), parts))
         if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * DEGREE * n:
