@@ -108,20 +108,20 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     dropped = lines.select("row", "doc", "number", "h").join(judged, "h")
     dropped = dropped.withColumn("repeated", place != F.col("first")).where("repeated OR near")
     by_row = dropped.groupBy("row").agg(
-        F.collect_set("number").alias("_cut"),
-        F.count_distinct(F.when(F.col("repeated"), F.col("number"))).cast("int").alias("_repeated"),
+        F.collect_set("number").alias("_dedup_cut"),
+        F.count_distinct(F.when(F.col("repeated"), F.col("number"))).cast("int").alias("_dedup_repeated"),
     )
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    out = keyed.join(by_row.withColumnRenamed("row", "_row"), "_row", "left")
+    keyed = docs.withColumn("_dedup_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    out = keyed.join(by_row.withColumnRenamed("row", "_dedup_row"), "_dedup_row", "left")
     all_lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_cut"), i))
-    size = F.coalesce(F.size("_cut"), F.lit(0))
+    kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_dedup_cut"), i))
+    size = F.coalesce(F.size("_dedup_cut"), F.lit(0))
     return out.withColumns({
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)),
-        "n_repeated": F.coalesce("_repeated", F.lit(0)),
-        "n_near": F.when(F.col("_cut").isNull(), 0).otherwise(size - F.col("_repeated")),
-        text_col: F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
-    }).drop("_row", "_cut", "_repeated")
+        "n_repeated": F.coalesce("_dedup_repeated", F.lit(0)),
+        "n_near": F.when(F.col("_dedup_cut").isNull(), 0).otherwise(size - F.col("_dedup_repeated")),
+        text_col: F.when(F.col("_dedup_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+    }).drop("_dedup_row", "_dedup_cut", "_dedup_repeated")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

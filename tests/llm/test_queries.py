@@ -1,0 +1,117 @@
+"""Corpus queries against their SQL, and all of them on awkward and empty tables."""
+
+import pytest
+
+from sieveworks.llm import decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, registry, secret_scan, url_filter
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_as_sql(name, same_as_sql):
+    same_as_sql(registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_there_is_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+
+
+def test_language_of_awkward_texts(awkward, nothing):
+    got = [(r.doc_id, r.text, r.lang_pred, r.score) for r in language_id.identify(awkward).collect()]
+    assert len(got) == awkward.count() and all(0 <= s <= 1 for *_, s in got)
+    assert {p for i, _, p, _ in got if i in (3, 4, 6, 7, 10)} == {"und"} and all(p in ("en", "es", "de", "und") for _, _, p, _ in got)
+    assert language_id.identify(nothing).count() == 0
+    assert {r.lang_pred for r in language_id.predict(awkward, language_id.fit(nothing)).collect()} == {"und"}
+
+
+def test_packing_of_awkward_texts(awkward, nothing):
+    rows = packing.pack(awkward, capacity=64).collect()
+    by = {}
+    for r in rows:
+        assert len(r.ids) == r.length
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert sorted(r.ids for r in rows if r.doc_id in (3, 4)) == [[0], [0]] and sum(r.piece == 0 for r in rows) == awkward.count()
+    assert packing.pack(nothing).count() == 0
+
+
+def test_lm_scores_of_awkward_texts(awkward, nothing):
+    from pyspark.sql import functions as F
+
+    rows = lm_score.score(awkward.withColumn("is_training", F.col("doc_id") != 8)).collect()
+    assert len(rows) == awkward.count() and {r.n_tokens for r in rows if r.doc_id in (3, 4, 6, 10)} == {1}
+    assert all(r.score <= 0 and r.base_score <= 0 and r.n_known <= r.n_tokens for r in rows)
+    assert lm_score.score(nothing.withColumn("is_training", F.lit(True))).count() == 0
+    none = lm_score.score(awkward.withColumn("is_training", F.lit(False))).collect()
+    assert {(r.train_tokens, r.n_known, round(r.base_score, 9) + 0.0) for r in none} == {(0, 0, 0.0)}
+
+
+def test_near_duplicates_of_awkward_texts(awkward, nothing):
+    rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(awkward, 3, 85).collect()]
+    assert len(rows) == awkward.count()
+    assert {(n, c, k) for i, n, c, k in rows if i == 2} == {(next(n for i, n, *_ in rows if i == 1), 1, False)}
+    assert all(c == i and k and n == 0 for i, n, c, k in rows if i in (3, 4, 6, 10)) and (9, 1, 9, True) in rows
+    assert near_dup.near_duplicates(nothing, 3, 85).count() == 0
+
+
+def test_lines_of_awkward_texts(awkward, nothing):
+    out = line_dedup.dedup_lines(awkward)
+    assert set(awkward.columns) <= set(out.columns)
+    rows = [(r.doc_id, r.text, r._row, r.n_repeated) for r in out.collect()]
+    texts = {i: t for i, t, *_ in rows}
+    assert len(rows) == awkward.count() and texts[2] == "short" and texts[1].startswith("the quick") and texts[3] is None and texts[4] == ""
+    assert all(x == i for i, _, x, _ in rows) and sum(n == 2 for i, *_, n in rows if i == 2) == 2
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_leaks_in_awkward_texts(spark, awkward, nothing):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, None), (3, "too short"), (None, "la casa y el perro que no come nada por la noche")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(awkward, bench).collect()}
+    assert got == {(1, 1, 0), (2, 1, 0), (8, 1, 0), (None, None, 0)}
+    assert decontaminate.clean_documents(awkward, bench).count() == awkward.count() - 5
+    assert decontaminate.leaks(nothing, bench).count() == 0 and decontaminate.leaks(awkward, bench.where("item_id > 9")).count() == 0
+
+
+def test_secrets_in_awkward_texts(spark, awkward, nothing):
+    trees = secret_scan.default_trees(spark)
+    assert secret_scan.scan(awkward, trees).where("is_secret").count() == 0 and secret_scan.scan(nothing, trees).count() == 0
+
+
+def test_urls_of_awkward_pages(spark):
+    urls = [None, "", "no scheme/en/7", "HTTP://WWW.Spam-Farm.Example.COM/fr/12.html?x#y", "x://a.b.example.com/en/71", "x://acom/en/1", "x://com/en/1#f", "x://h?q://z/en/", "x://spam-farm.example.org/fr/12/", "x://u:p@Host:80/es/"]
+    df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)] + [(None, urls[3], "c")], "page_id long, url string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, url_filter.listed_urls(spark)).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert got[3] == ("www.spam-farm.example.com", "/fr/12.html", None, "block") == got[None]
+    assert got[4][2:] == ("example.com/en/7", "allow") and got[5][2:] == (None, "allow") and got[6][2:] == ("com/en/", "block")
+    assert got[7] == ("h", "", None, "allow") and got[8][3] == "block" and got[9][:2] == ("u:p@host:80", "/es/")
+
+
+def test_urls_without_broadcast_are_judged_alike(spark, sf_dir, monkeypatch):
+    want = sorted(map(str, url_filter.op9_url_filter(spark, sf_dir).collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_URLS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(str, url_filter.op9_url_filter(spark, sf_dir).collect())) == want
+
+
+def test_pages_of_every_kind(spark):
+    html = [None, "", "plain text only", "<p>unclosed <b>bold<p>two &amp; three&nbsp;!</p>", "<body><nav><a href=x>menu</a></nav></body>", "<div", "<article><p>A&lt;b  c\n d</p><script>x<p>y</p></script></article><footer>no</footer>"]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id int, html string").withColumn("text", html_col := __import__("pyspark").sql.functions.lit("clash"))
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert html_col is not None and got[0] == got[1] == got[4] == "" and got[2] == "plain text only" and got[6] == "A<b c d"
+    assert got[3] == "unclosed bold\n\ntwo & three !"
+
+
+def test_neighbours_of_awkward_vectors(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (64, [1.0]), (None, [1.0, 1.0, 1.0]), (80, [9.0, float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, __import__("pyspark").sql.functions.col("id") % 20 == 0, 20).collect()
+    good = {k: v for k, v in rows[:60]}
+    for q in (0, 20, 40):
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        want = sorted(((-sum(a * b for a, b in zip(good[q], v)), k) for k, v in good.items() if k != q))[:20]
+        assert [(i, -s) for _, i, s in own] == [(k, s) for s, k in want]
+    assert {r.query_id for r in got} == {0, 20, 40} and neighbours.search(df.where("vec_id < 0"), __import__("pyspark").sql.functions.col("id") > 0).count() == 0
