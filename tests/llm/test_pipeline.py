@@ -2,6 +2,7 @@
 
 import importlib.util
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -23,8 +24,10 @@ def cut_lines(docs):
             if len(line) < 24:
                 kept.append(line)
                 continue
-            near = any(line == s or abs(len(line) - len(s)) <= 2 and edit_distance(line, s) <= 2 for s in seen)
-            seen.append(line)
+            own = Counter(line)
+            # two edits change at most two characters on either side
+            near = any(line == s or abs(len(line) - len(s)) <= 2 and (own - c).total() <= 2 and (c - own).total() <= 2 and edit_distance(line, s) <= 2 for s, c in seen)
+            seen.append((line, own))
             if not near:
                 kept.append(line)
         out[i] = "\n".join(kept)
