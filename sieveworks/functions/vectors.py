@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -150,7 +149,9 @@ def route_vectors(requests: DataFrame, layout: dict, key: str = "key") -> DataFr
 
 def route_matrix(routes: DataFrame, key: str = "key") -> DataFrame:
     """Routes in key order as rows of a matrix: ``row_index, route``."""
-    return routes.select((F.row_number().over(W.orderBy(key)) - 1).alias("row_index"), "route")
+    from ..operators.selection import global_place
+
+    return global_place(routes, [key], "row_index").select("row_index", "route")
 
 
 def bisector(a: Column, b: Column) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .selection import bucket_place, global_place, smallest
 
 
 def _numbered(rows: DataFrame, by: str, order: Sequence) -> DataFrame:
-    return rows.withColumn("_pos", F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1)
+    return bucket_place(rows, by, order, "_pos")
 
 
 def interleave(rows: DataFrame, mode: str, modes: Sequence[str], order: Sequence, strict: bool = False) -> DataFrame:
@@ -33,7 +34,7 @@ def shuffled(rows: DataFrame, identity: str, seed: int, name: str = "shuffle_key
 
 def rounds(rows: DataFrame, bucket: str, identity: str, n_rounds: int, seed: int) -> DataFrame:
     """One row of each bucket in each round, buckets shuffled anew every round: adds ``round, slot``."""
-    out = _numbered(rows, bucket, [keys.stable_key(seed, F.col(identity)), identity]).where(F.col("_pos") < n_rounds)
+    out = smallest(rows, [bucket], [keys.stable_key(seed, F.col(identity)), identity], n_rounds, "_pos").withColumn("_pos", F.col("_pos") - 1)
     slot_key = keys.sha(F.concat((F.lit(seed) + F.col("_pos")).cast("string"), F.lit(":"), F.col(bucket)))
     out = out.withColumn("_k", slot_key).withColumn("slot", F.row_number().over(W.partitionBy("_pos").orderBy("_k", bucket)) - 1)
     return out.withColumnRenamed("_pos", "round").drop("_k")
@@ -55,14 +56,12 @@ def proportional(rows: DataFrame, bucket: str, order: Sequence) -> DataFrame:
 
 def zipped(left: DataFrame, right: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
     """Pairs of equally ranked rows; ``pair, left_*, right_*``."""
-    side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in columns), (F.row_number().over(W.orderBy(order)) - 1).alias("pair"))
+    side = lambda df, name: global_place(df, [order], "pair").select(*(F.col(c).alias(f"{name}_{c}") for c in columns), "pair")
     return side(left, "left").join(side(right, "right"), "pair")
 
 
 def balanced_pairs(rows: DataFrame, mode: str, bucket: str, identity: str, buckets: dict[str, Sequence[str]], pairs: int, seed: int) -> DataFrame:
     """Equally many rows of each bucket in both modes, shuffled and zipped to pairs: ``pair, left_*, right_*``."""
-    from .selection import smallest
-
     if pairs <= 0 or any(pairs % len(b) for b in buckets.values()):
         raise ValueError("pairs must be a positive multiple of both numbers of buckets")
     sides = []

@@ -68,7 +68,9 @@ def quota_table(spark, buckets: Sequence[str], total: int) -> DataFrame:
 def by_quota(rows: DataFrame, quotas: DataFrame, order: Sequence[Column | str], bucket: str = "bucket", exact: bool = False) -> DataFrame:
     """The first rows of each bucket up to its own quota; with ``exact``, raises where rows lack."""
     quotas = quotas.withColumnRenamed("bucket", bucket)
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(bucket).orderBy(*order))).join(quotas, bucket)
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    # the fixed bound lets Spark cut each task's rows before the shuffle
+    ranked = smallest(rows, [bucket], order, most, "_rank").join(quotas, bucket)
     if exact:
         have = rows.groupBy(bucket).count()
         short = quotas.join(have, bucket, "left").where(F.coalesce("count", F.lit(0)) < F.col("quota")).limit(1).collect()
@@ -149,22 +151,30 @@ def round_robin_shards(rows: DataFrame, order: Sequence[str], shards: int, total
     return place.withColumn("shard", (F.col("place") % shards).cast("int"))
 
 
-def global_place(rows: DataFrame, order: Sequence[str], place_col: str = "place") -> DataFrame:
+def global_place(rows: DataFrame, order: Sequence[Column | str], place_col: str = "place") -> DataFrame:
     """Adds the row's place (from 0) in a total order, without bringing all rows to one task.
 
-    Rows are sorted by range, counted per partition, and numbered from the
-    counts before; only one count per partition reaches a single task.
+    Rows are sorted by range and numbered inside their partition; the counts of
+    the partitions before give the rest. Only those counts meet in one task.
     """
     from ..sources.tables import checkpointed
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_part", before.alias("_before")))  # one row per partition
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.join(starts, "_part").withColumn(place_col, (F.col("_before") + own).cast("long")).drop("_part", "_before")
+    ranged = checkpointed(ranged.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", "_first", before.alias("_before")))  # one row per partition
+    place = F.col("_before") + F.col("_id") - F.col("_first")
+    return ranged.join(starts, "_part").withColumn(place_col, place).drop("_part", "_id", "_first", "_before")
+
+
+def bucket_place(rows: DataFrame, bucket: str, order: Sequence[Column | str], place_col: str = "place") -> DataFrame:
+    """Adds the row's place (from 0) inside its bucket, however many rows a bucket has."""
+    placed = global_place(rows, [F.col(bucket), *order], "_place")
+    starts = placed.groupBy(bucket).agg(F.min("_place").alias("_start"))  # one row per bucket
+    out = placed.join(starts, placed[bucket].eqNullSafe(starts[bucket])).drop(starts[bucket])
+    return out.withColumn(place_col, F.col("_place") - F.col("_start")).drop("_place", "_start")
 
 
 def outcome_counts(rows: DataFrame, outcome: Column, by: Sequence[str] = ()) -> DataFrame:
