@@ -443,6 +443,8 @@ def training_page(r: random.Random) -> str:
     body = title + "".join(inner() for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))))
     if r.random() < 0.15:
         body = f"<header y=1>{title}</header>" + body.removeprefix(title)
+    if r.random() < 0.15:
+        body += f"<footer{name('meta', 'post-footer')} y=0>{r.choice(('<p y=0>{}</p>', '{}')).format(_sentence(r, 2, 15))}</footer>"
     if r.random() < 0.2:
         body += comments()
     body = r.choices((
