@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -261,11 +262,17 @@ def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
     ``queries`` has ``query`` (the node a search starts at) and ``asked``.
     """
     parts = max(1, -(-queries.count() // QUERIES_PER_PART))
-    # neighbour lists with the neighbours' vectors
-    flat = graph.select("node", "ids").mapInPandas(_exploded, "node long, found long")
+    # lists of neighbours and of the nearest that have the node as one, with vectors; else a node that is in no list is never found
+    flat = graph.select("node", "ids", "near").mapInPandas(_exploded, "node long, found long, near float")
+    back = flat.select(F.col("found").alias("node"), F.col("node").alias("found"), "near")
+    nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("near"), "found"))
+    back = back.withColumn("r", nearest).where(F.col("r") <= DEGREE)
     own = graph.select(F.col("node").alias("found"), F.col("packed").alias("theirs"))
-    lists = flat.join(own, "found").groupBy("node").agg(F.collect_list(F.struct("found", "theirs")).alias("list"))
+    met = flat.select("node", "found").unionByName(back.select("node", "found"))
+    lists = met.join(own, "found").groupBy("node").agg(F.collect_set(F.struct("found", "theirs")).alias("list"))
     lists = checkpointed(lists.select("node", F.col("list.found").alias("found"), F.col("list.theirs").alias("theirs")))
+    # dealt by node once: the rounds' joins then move the search fronts only
+    lists = lists.repartition(max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-graph.count() // NODES_PER_PART)), "node").persist(StorageLevel.DISK_ONLY)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _whole(batches)
@@ -301,12 +308,14 @@ def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
         front = state.select("query", F.explode("front").alias("node")).join(lists, "node").select("query", "found", "theirs")
         rows = state.drop("front").unionByName(front, allowMissingColumns=True)
         state = checkpointed(rows.repartition(parts, "query").mapInPandas(step, STATE))
+    lists.unpersist()
     return state.select("query", "ids", "near")
 
 
 def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), [len(x) // 8 for x in batch["ids"]]), "found": np.frombuffer(b"".join(batch["ids"]), np.int64)})
+        owner, found, near = _flat(batch["node"].to_numpy(), batch["ids"].tolist(), batch["near"].tolist())
+        yield pd.DataFrame({"node": owner, "found": found, "near": near})
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
