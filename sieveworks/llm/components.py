@@ -11,22 +11,28 @@ from .common import checkpointed
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """The smallest node of each node's component: ``node, component``.
 
-    Every round takes the smallest label among a node and its neighbours and
-    then the label of that label, so labels cross long chains in few rounds.
-    Nodes without an edge do not appear. Edges may repeat and need not be
-    ordered. Nothing but one changed-row count reaches the driver, and every
-    round is checkpointed, so lost executors cost one round at most.
+    Every round joins each node to its smallest neighbour, and to that one's
+    smallest, and then contracts the graph: edges are renamed, edges inside a
+    merged group and repeated edges go. So the edges shrink from round to round
+    and long chains take few rounds. Nodes without an edge do not appear; edges
+    may repeat and need not be ordered. Nothing but whether edges are left
+    reaches the driver, and every round is checkpointed, so lost executors cost
+    one round at most.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    left = checkpointed(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(*ordered(F.col(src), F.col(dst))).distinct())
+    labels = None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        new = checkpointed(low.join(jump, low["low"] == jump["via"]).select("node", F.least("low", "further").alias("component"), (F.least("low", "further") != F.col("old")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
+        both = left.select(F.col("a").alias("node"), "b").unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        near = both.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("parent"))
+        jump = near.select(F.col("node").alias("via"), F.col("parent").alias("further"))
+        merged = checkpointed(near.join(jump, near["parent"] == jump["via"]).select("node", F.col("further").alias("parent")))
+        if labels is None:
+            labels = merged.select("node", F.col("parent").alias("component"))
+        else:
+            step = merged.select(F.col("node").alias("component"), "parent")
+            labels = checkpointed(labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+        renamed = left.join(merged.select(F.col("node").alias("a"), F.col("parent").alias("x")), "a").join(merged.select(F.col("node").alias("b"), F.col("parent").alias("y")), "b")
+        left = checkpointed(renamed.where(F.col("x") != F.col("y")).select(*ordered(F.col("x"), F.col("y"))).distinct())
+        if left.isEmpty():
             return labels
