@@ -8,12 +8,15 @@ together (two joins), compares them with each other, and offers each the best
 it met; nodes keep the best ``DEGREE``. Rounds end when few lists change.
 
 Search. Queries are rows of the same table, so a search starts at its own node
-and expands, round by round, the nearest nodes not yet expanded; a join fetches
+and at the best of a random sample of nodes, which lead into and along large groups
+of near copies, and expands, round by round, the nearest nodes not yet expanded; a join fetches
 their neighbour lists. The ``BEAM`` nearest nodes are kept. The nearest ``EXACT``
 are then scored in double precision on the original vectors.
 
-Both work on one byte per coordinate; only the last step reads the vectors
-themselves. Per task the rows are bounded: nodes and queries are dealt by hash
+Both hold single-precision coordinates and compute in double precision. The
+added coordinate is not stored: distances take it from the norms, so that one
+long vector does not round the others away. Nodes whose score is within
+the rounding error of the last one asked for are kept and rescored however many. Per task the rows are bounded: nodes and queries are dealt by hash
 to partitions of fixed size. A node that very many others have as a neighbour
 receives many messages, of which it holds ``MEMBERS`` at a time; that sampling is
 part of NN-descent and concerns the index only: every vector is indexed, and
@@ -50,10 +53,24 @@ BEAM, EXPANDED, SEARCH_ROUNDS = 384, 40, 6
 EXACT = 64
 
 
-def unit(rows: list[bytes]) -> np.ndarray:
-    """Unit vectors of one-byte rows."""
-    x = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+#: Bound of the error that rounding both vectors' coordinates puts into a product, as a share of both norms.
+ROUNDED = 2.0**-22
+
+
+def coordinates(rows: list[bytes]) -> np.ndarray:
+    """Vectors of packed rows."""
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
+
+
+def closeness(x: np.ndarray) -> np.ndarray:
+    """Minus the squared distances between the vectors of each group, with the coordinate that makes all norms 1."""
+    x = x.astype(np.float64)
+    square = (x * x).sum(axis=-1)
+    rest = np.sqrt(np.maximum(0, 1 - square))
+    a, b = square[..., :, None], square[..., None, :]
+    # the difference of the added coordinates, without cancellation
+    fill = (a - b) / np.maximum(rest[..., :, None] + rest[..., None, :], 1e-9)
+    return -(np.maximum(0, a + b - 2 * (x @ np.swapaxes(x, -1, -2))) + fill * fill)
 
 
 def best(owner: np.ndarray, found: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,21 +127,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """Distinct vectors, with one byte per coordinate: ``node, packed``, and ``asked`` for the query form."""
+    """Distinct vectors, with single-precision coordinates over the largest norm: ``node, packed``, and ``asked`` for the query form."""
     distinct = rows.select("node", "vector").dropDuplicates(["node"])
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     largest = float(distinct.agg(F.max(norm)).first()[0] or 1.0)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def bytes_of(x: np.ndarray) -> list[bytes]:
-            scale = 127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
-            return [r.tobytes() for r in np.rint(x * scale).astype(np.int8)]
-
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["vector"].tolist()) / largest
-                rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))
-                yield pd.DataFrame({"node": batch["node"], "packed": bytes_of(np.hstack((x, rest))), "asked": bytes_of(np.hstack((x, 0 * rest)))})
+                x = np.stack(batch["vector"].tolist())
+                asked = x / np.abs(x).max(axis=1, keepdims=True)
+                asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+                packed = lambda y: [v.tobytes() for v in y.astype(np.float32)]
+                yield pd.DataFrame({"node": batch["node"], "packed": packed(x / largest), "asked": packed(asked)})
 
     return distinct.mapInPandas(pack, "node long, packed binary, asked binary")
 
@@ -150,9 +165,9 @@ def _start(nodes: DataFrame, n: int, parts: int) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "t"), F.lit(blocks)))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x = group["node"].to_numpy(), unit(group["packed"].tolist())
-        near = x @ x.T
-        np.fill_diagonal(near, -2)
+        ids = group["node"].to_numpy()
+        near = closeness(coordinates(group["packed"].tolist()))
+        np.fill_diagonal(near, -np.inf)
         k = min(DEGREE, len(ids) - 1)
         at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
         return _packed(np.repeat(ids, k), ids[at].reshape(-1), np.take_along_axis(near, at, 1).reshape(-1), parts)
@@ -194,7 +209,7 @@ def _offers(graph: DataFrame, parts: int, number: int) -> DataFrame:
             if len(batch):
                 owner, found, near = _flat(batch["node"].to_numpy(), batch["ids"].tolist(), batch["near"].tolist())
                 packed = dict(zip(batch["node"], batch["packed"]))
-                least = {v: float(np.frombuffer(x, np.float32)[-1]) if len(x) == 4 * DEGREE else -2.0 for v, x in zip(batch["node"], batch["near"])}
+                least = {v: float(np.frombuffer(x, np.float32)[-1]) if len(x) == 4 * DEGREE else -np.inf for v, x in zip(batch["node"], batch["near"])}
                 yield pd.DataFrame({"centre": found, "member": owner, "packed": [packed[v] for v in owner], "least": np.array([least[v] for v in owner], np.float32)})
 
     # those that have the centre as a neighbour send themselves; the centre's own neighbours are joined in
@@ -213,15 +228,14 @@ def _offers(graph: DataFrame, parts: int, number: int) -> DataFrame:
         centres, first = np.unique(rows["centre"].to_numpy(), return_index=True)
         sizes = np.diff(np.append(first, len(rows)))
         ids, least = rows["member"].to_numpy(), rows["least"].to_numpy()
-        vectors = unit(rows["packed"].tolist())
+        vectors = coordinates(rows["packed"].tolist())
         owner, found, near = [], [], []
         for a in range(0, len(centres), 256):
             width = int(sizes[a:a + 256].max())
             at = first[a:a + 256, None] + np.arange(width)
             there = np.arange(width) < sizes[a:a + 256, None]
             at = np.where(there, at, 0)
-            x = vectors[at]
-            close = x @ x.transpose(0, 2, 1)
+            close = closeness(vectors[at])
             good = (close > least[at][:, :, None]) & there[:, :, None] & there[:, None, :]
             good[:, np.arange(width), np.arange(width)] = False
             i, j, k = np.nonzero(good)
@@ -236,7 +250,7 @@ def _offers(graph: DataFrame, parts: int, number: int) -> DataFrame:
 
 def _with_least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        least = [float(np.frombuffer(x, np.float32)[-1]) if len(x) == 4 * DEGREE else -2.0 for x in batch["near"]]
+        least = [float(np.frombuffer(x, np.float32)[-1]) if len(x) == 4 * DEGREE else -np.inf for x in batch["near"]]
         yield pd.DataFrame({"member": batch["member"], "packed": batch["packed"], "least": np.array(least, np.float32)})
 
 
@@ -256,8 +270,26 @@ def build_graph(nodes: DataFrame) -> DataFrame:
 STATE = "query long, asked binary, ids binary, near binary, expanded binary, front array<long>"
 
 
-def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """The nodes nearest to each query: ``query, ids, near`` (bytes, nearest first).
+def within_rounding(near: np.ndarray, k: int) -> int:
+    """How many of the nearest (pairs of score and error, nearest first) can be among the ``k + 1`` nearest."""
+    if len(near) <= k + 1:
+        return len(near)
+    least = np.sort(near[:, 0] - near[:, 1])[-(k + 1)]
+    return int(np.flatnonzero(near[:, 0] + near[:, 1] >= least)[-1]) + 1
+
+
+def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scores, with the bound of their error, of each query with the nodes of a fetched list."""
+    for batch in batches:
+        scores = []
+        for asked, theirs in zip(batch["asked"], batch["theirs"]):
+            x = coordinates(list(theirs)).astype(np.float64)
+            scores.append(np.stack((x @ coordinates([asked])[0].astype(np.float64), ROUNDED * np.linalg.norm(x, axis=1)), axis=1).tobytes())
+        yield pd.DataFrame({"query": batch["query"], "found": [np.asarray(v, np.int64).tobytes() for v in batch["found"]], "score": scores})
+
+
+def greedy_search(graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The nodes nearest to each query: ``query, ids, near`` (bytes, nearest first; scores with their error).
 
     ``queries`` has ``query`` (the node a search starts at) and ``asked``.
     """
@@ -270,7 +302,7 @@ def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
     own = graph.select(F.col("node").alias("found"), F.col("packed").alias("theirs"))
     met = flat.select("node", "found").unionByName(back.select("node", "found"))
     lists = met.join(own, "found").groupBy("node").agg(F.collect_set(F.struct("found", "theirs")).alias("list"))
-    lists = checkpointed(lists.select("node", F.col("list.found").alias("found"), F.col("list.theirs").alias("theirs")))
+    lists = lists.select("node", F.col("list.found").alias("found"), F.col("list.theirs").alias("theirs"))
     # dealt by node once: the rounds' joins then move the search fronts only
     lists = lists.repartition(max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-graph.count() // NODES_PER_PART)), "node").persist(StorageLevel.DISK_ONLY)
 
@@ -278,22 +310,22 @@ def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
         rows = _whole(batches)
         if rows is None:
             return
-        fetched = {q: g for q, g in rows[rows["theirs"].notna()].groupby("query")}
+        fetched = {q: g for q, g in rows[rows["found"].notna()].groupby("query")}
         out = []
         for state in rows[rows["asked"].notna()].itertuples():
             ids = np.frombuffer(state.ids or b"", np.int64)
-            near = np.frombuffer(state.near or b"", np.float32)
+            near = np.frombuffer(state.near or b"", np.float64).reshape(-1, 2)
             done = np.frombuffer(state.expanded or b"", bool)
             if (own := fetched.get(state.query)) is not None:
-                found = np.concatenate([np.asarray(x, np.int64) for x in own["found"]])
-                theirs = [b for x in own["theirs"] for b in x]
+                found = np.frombuffer(b"".join(own["found"]), np.int64)
+                scored = np.frombuffer(b"".join(own["score"]), np.float64).reshape(-1, 2)
                 found, first = np.unique(found, return_index=True)
                 new = ~np.isin(found, ids)
                 found, first = found[new], first[new]
                 if len(found):
-                    close = unit([theirs[k] for k in first]) @ unit([state.asked])[0]
-                    ids, near, done = np.concatenate((ids, found)), np.concatenate((near, close.astype(np.float32))), np.concatenate((done, np.zeros(len(found), bool)))
-                    order = np.argsort(-near, kind="stable")[:BEAM]
+                    ids, near, done = np.concatenate((ids, found)), np.concatenate((near, scored[first])), np.concatenate((done, np.zeros(len(found), bool)))
+                    order = np.argsort(-near[:, 0], kind="stable")
+                    order = order[:max(BEAM, within_rounding(near[order], k))]
                     ids, near, done = ids[order], near[order], done[order].copy()
             at = np.flatnonzero(~done)[:EXPANDED]
             done = done.copy()
@@ -301,11 +333,28 @@ def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
             out.append((state.query, state.asked, ids.tobytes(), near.tobytes(), done.tobytes(), ids[at].tolist()))
         yield pd.DataFrame(out, columns=["query", "asked", "ids", "near", "expanded", "front"])
 
-    # the first list fetched is that of the query's own node
-    nothing = F.lit(None).cast("binary")
-    state = queries.select("query", "asked", nothing.alias("ids"), nothing.alias("near"), nothing.alias("expanded"), F.array("query").alias("front"))
+    # the first lists fetched are those of the query's own node and of the best of the sample
+    sample = graph.select("node", "packed").orderBy(F.xxhash64("node"), "node").limit(START_BLOCK).collect()
+    sampled = queries.sparkSession.sparkContext.broadcast((np.array([v.node for v in sample], np.int64), [bytes(v.packed) for v in sample]))
+
+    def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = sampled.value[0], coordinates(sampled.value[1]).astype(np.float64)
+        error = ROUNDED * np.linalg.norm(x, axis=1)
+        for batch in batches:
+            if len(batch):
+                out = []
+                for query, asked, score in zip(batch["query"], batch["asked"], coordinates(batch["asked"].tolist()).astype(np.float64) @ x.T):
+                    order = np.argsort(-score, kind="stable")
+                    order = order[:max(BEAM, within_rounding(np.stack((score, error), axis=1)[order], k))]
+                    near, done = np.stack((score, error), axis=1)[order], np.arange(len(order)) < EXPANDED
+                    out.append((query, asked, ids[order].tobytes(), near.tobytes(), done.tobytes(), [query, *(v for v in ids[order[:EXPANDED]].tolist() if v != query)]))
+                yield pd.DataFrame(out, columns=["query", "asked", "ids", "near", "expanded", "front"])
+
+    state = queries.select("query", "asked").mapInPandas(begun, STATE)
     for _ in range(SEARCH_ROUNDS):
-        front = state.select("query", F.explode("front").alias("node")).join(lists, "node").select("query", "found", "theirs")
+        # the query's vector goes to the lists: scores are moved, not the vectors of all that is met
+        front = state.select("query", "asked", F.explode("front").alias("node")).join(lists, "node").select("query", "asked", "found", "theirs")
+        front = front.mapInPandas(_scored, "query long, found binary, score binary")
         rows = state.drop("front").unionByName(front, allowMissingColumns=True)
         state = checkpointed(rows.repartition(parts, "query").mapInPandas(step, STATE))
     lists.unpersist()
@@ -328,11 +377,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     graph = build_graph(nodes)
     asking = rows.where(is_query).select("id", "node")
     queries = asking.select(F.col("node").alias("query")).distinct().join(nodes.select(F.col("node").alias("query"), "asked"), "query")
-    found = greedy_search(graph, queries)
+    found = greedy_search(graph, queries, k)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = [np.append(np.frombuffer(x, np.int64)[:max(EXACT, 2 * k)], q) for q, x in zip(batch["query"], batch["ids"])]
+            kept = [max(EXACT, 2 * k, within_rounding(np.frombuffer(x, np.float64).reshape(-1, 2), k)) for x in batch["near"]]
+            ids = [np.append(np.frombuffer(x, np.int64)[:n], q) for q, x, n in zip(batch["query"], batch["ids"], kept)]
             yield pd.DataFrame({"query": np.repeat(batch["query"].to_numpy(), [len(x) for x in ids]), "node": np.concatenate(ids) if ids else []}, dtype="int64")
 
     pairs = found.mapInPandas(nearest, "query long, node long").distinct()

@@ -271,3 +271,24 @@ def test_the_graph_improves_by_rounds(spark, monkeypatch):
         s[q] = -np.inf
         hits += len(found & set(np.argsort(-s)[:20]))
     assert hits >= 0.9 * 20 * len(got)
+
+
+@pytest.mark.parametrize("kind", ["near copies", "one long vector"])
+def test_recall_beside_near_copies_and_a_long_vector(spark, kind):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "near copies":
+        x[::3] = x[0] + 0.0001 * r.normal(size=(500, 32))
+    else:
+        x[7] *= 1000
+    df = spark.createDataFrame([(int(k), [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in neighbours.search(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20]))
+    assert hits >= 0.97 * 20 * len(got) and len(got) == 75
