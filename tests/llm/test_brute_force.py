@@ -68,6 +68,15 @@ def test_pieces_hold_the_tokenizers_ids(spark, sf_dir, duck):
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
 
+def test_ids_are_those_of_tokenizers_defaults():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n <|endoftext|>  y", "<|endoftext", "plain text", ""):
+        assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def brute_components(texts, k, percent):
     sets = {i: {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for i, w in ((i, words(t)) for i, t in texts)}
     parent = {i: i for i in sets}
