@@ -1,10 +1,10 @@
 """Secret scans: candidates from text, false positives removed by a random forest.
 
 Candidates are runs of at least 16 letters, digits and ``+ / _ = -`` with a
-digit among them. Features: length, character transitions (runs of letters and
+digit among them; a word without blanks can hold many, and each is one. Features: length, character transitions (runs of letters and
 digits for each character), kinds and variety of characters, the share that
-dictionary words cover, path and address marks, and the neighbouring words: an
-assignment, words that name secrets, words that name other codes.
+dictionary words cover, path and address marks, and the neighbouring words, or
+what stands beside the run inside its own word: an assignment, words that name secrets, words that name other codes.
 
 The forest is trained from labelled findings (a table of ``word, prev1, prev2,
 next1, label``). ``labelled_findings`` writes ``FINDINGS`` of them from a seed, of
@@ -157,13 +157,40 @@ def tree_column(text: str) -> Column:
     return node()
 
 
+#: What parts a word into pieces, of which a run and what touches it is one.
+_PART = r"\"'`,;{}()\[\]<>|&?"
+#: A name, perhaps quoted, and the sign that assigns to it, just before a run.
+_NAMED = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]*+)[\"'`]?[=:]>?[\"'`\[{(]*$"
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every word that holds a candidate, with its neighbours: ``id_col, at, word, prev1, prev2, next1``."""
+    """Every run, with its piece of the word and its neighbours: ``id_col, at, word, prev1, prev2, next1``."""
     rows = docs.select(id_col, text_col).where(F.col(text_col).rlike(_MAY)).select(id_col, F.split(text_col, r"\s+").alias("_words"))
     places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).rlike(_CANDIDATE))
     found = F.transform(places, lambda i: F.struct(
-        i.alias("at"), F.get("_words", i).alias("word"), F.get("_words", i - 1).alias("prev1"), F.get("_words", i - 2).alias("prev2"), F.get("_words", i + 1).alias("next1")))
-    return rows.select(id_col, F.inline(found))
+        i.alias("at"), F.get("_words", i).alias("_whole"), F.get("_words", i - 1).alias("_prev1"), F.get("_words", i - 2).alias("_prev2"), F.get("_words", i + 1).alias("_next1")))
+    rows = rows.select(id_col, F.inline(found))
+    rows = rows.withColumns({"_runs": F.regexp_extract_all("_whole", F.lit(_CANDIDATE), 0), "_gaps": F.split("_whole", _CANDIDATE, -1)})
+    # one row more than there are runs: the last gap has none behind it
+    zipped = F.arrays_zip(
+        F.col("_gaps").alias("before"), F.col("_runs").alias("run"), F.slice("_gaps", F.lit(2), F.size("_gaps")).alias("after"), F.concat(F.array(F.lit(None).cast("string")), "_runs").alias("last"))
+    rows = rows.withColumn("_alone", F.size("_runs") == 1).select(id_col, "at", "_prev1", "_prev2", "_next1", "_alone", F.inline(zipped)).where("run IS NOT NULL")
+    before, after, first = F.col("before"), F.col("after"), F.col("last").isNull()
+    own_left = F.regexp_extract("before", rf"([{_PART}]?)([^{_PART}]*)$", 0)
+    own_right = F.regexp_extract("after", rf"^[^{_PART}]*[{_PART}]?", 0)
+    # a scheme's colon assigns nothing
+    name = F.regexp_extract("before", _NAMED, 1)
+    assigned = before.rlike(_NAMED) & ~(before.endswith(":") & F.col("run").startswith("//"))
+    words_before = F.regexp_extract("before", r"([A-Za-z0-9_.-]+)[^A-Za-z0-9_.-]*$", 1)
+    words_after = F.regexp_extract("after", r"([A-Za-z0-9_.-]+)", 1)
+    none = F.lit("")
+    bare = first & (words_before == "")
+    return rows.select(
+        id_col, "at", F.concat(own_left, "run", own_right).alias("word"),
+        F.when(assigned, F.concat(name, F.lit("="))).when(bare | (first & before.rlike("://")), F.col("_prev1")).otherwise(words_before).alias("prev1"),
+        F.when(assigned, F.when(name != "", none).when(first, F.col("_prev1")).otherwise(F.col("last"))).when(bare | (first & before.rlike("://")), F.col("_prev2")).otherwise(none).alias("prev2"),
+        F.when(words_after != "", words_after).when(F.col("_alone") | after.isNull(), F.col("_next1")).otherwise(none).alias("next1"),
+    )
 
 
 def scan(docs: DataFrame, trees: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
