@@ -174,7 +174,10 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_line_links_equal_brute_force(spark):
+@pytest.mark.parametrize("switches", [{}, {"HOT_KEY": 2, "BROADCAST_KEYS": 0}, {"COMMON": 1, "SHARE": 1, "HOT_KEY": 5}])
+def test_line_links_equal_brute_force(spark, monkeypatch, switches):
+    for name, value in switches.items():
+        monkeypatch.setattr(line_dedup, name, value)
     r = random.Random(3)
     lines = ["".join(r.choice("abcdé ") for _ in range(r.randint(24, 40))) for _ in range(30)]
     for line in lines[:30]:
@@ -184,12 +187,44 @@ def test_line_links_equal_brute_force(spark):
                 k = r.randrange(len(own))
                 own[k:k + 1] = r.choice(([], ["x"], [own[k], "y"]))
             lines.append("".join(own))
+    for _ in range(40):  # lines of one length that share segments
+        own = list("gdhabecfdgehacbdfgeahcbdgfehadcbgfehdabc")
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(40)] = r.choice("xyzé😀")
+        lines.append("".join(own))
     lines = sorted({x for x in lines if len(x) >= 24})
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
-    found = line_dedup.links(line_dedup.lines_of(df, 24, "doc_id", "text"))
+    rows = line_dedup.lines_of(df, 24, "doc_id", "text")
     names = dict((h, x) for x, h in df.select("text", F.xxhash64("text").alias("h")).collect())
-    got = {tuple(sorted((names[p.a], names[p.b]))) for p in found.collect()}
-    assert got == {(a, b) for k, a in enumerate(lines) for b in lines[k + 1:] if edit_distance(a, b) <= 2}
+    got = {tuple(sorted((names[p.a], names[p.b]))) for p in line_dedup.links(rows).collect()}
+    want = {(a, b) for k, a in enumerate(lines) for b in lines[k + 1:] if edit_distance(a, b) <= 2}
+    assert got == want
+    first = rows.select("h", "g", F.struct("doc", "row", "number").alias("first"), "line")
+    assert {names[x.h] for x in line_dedup.near_earlier(first).collect()} == {b for _, b in want}
+
+
+def test_common_lines_are_cut_alike(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [(k, "\n".join(["a line that every document holds", f"own line {k} {r.random()}", "ok"])) for k in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = [(k, 3, 2 if k else 0, t if not k else t.split("\n")[1]) for k, t in texts]
+    assert sorted(tuple(x) for x in line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_repeated", "text").collect()) == want
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_bit_parallel_distance(spark, edits):
+    r = random.Random(9)
+    pairs = [("", ""), ("a", ""), ("", "ab"), ("abc", ""), ("", "abcd")]
+    for _ in range(150):
+        own = [r.choice("abé") for _ in range(r.randint(1, 12))]
+        other = own[:]
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(other) + 1)
+            other[k:k + r.randint(0, 1)] = r.choice(([], ["x"], ["a"]))
+        pairs.append(("".join(own), "".join(other)))
+    rows = spark.createDataFrame([(a, b, list(a), list(b)) for a, b in pairs], "a string, b string, x array<string>, y array<string>")
+    for row in rows.select("a", "b", line_dedup.within_by_bits(F.col("x"), F.col("y"), edits).alias("bits"), line_dedup.within(F.col("a"), F.col("b"), edits).alias("near")).collect():
+        assert row.bits == row.near == (edit_distance(row.a, row.b) <= edits)
 
 
 def test_leaks_survive_edits_and_clean_texts_do_not_match(duck):

@@ -16,13 +16,15 @@ spec.loader.exec_module(pipeline)
 
 
 def cut_lines(docs):
-    """Lines of at least 24 characters that equal, or nearly equal, an earlier one go."""
-    seen, out = [], {}
+    """Lines that equal an earlier one go, and those of at least 24 characters that nearly do; blank lines stay."""
+    seen, short, out = [], set(), {}
     for i, text in sorted(docs.items()):
         kept = []
         for line in text.split("\n"):
             if len(line) < 24:
-                kept.append(line)
+                if line not in short or not line.strip(" "):
+                    kept.append(line)
+                short.add(line)
                 continue
             own = Counter(line)
             # two edits change at most two characters on either side

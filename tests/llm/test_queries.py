@@ -62,8 +62,10 @@ def test_lines_of_awkward_texts(awkward, nothing):
     assert set(awkward.columns) <= set(out.columns)
     rows = [(r.doc_id, r.text, r._row, r.n_repeated) for r in out.collect()]
     texts = {i: t for i, t, *_ in rows}
-    assert len(rows) == awkward.count() and texts[2] == "short" and texts[1].startswith("the quick") and texts[3] is None and texts[4] == ""
-    assert all(x == i for i, _, x, _ in rows) and sum(n == 2 for i, *_, n in rows if i == 2) == 2
+    assert len(rows) == awkward.count() and texts[2] == "" and texts[1].startswith("the quick") and texts[3] is None and texts[4] == ""
+    assert all(x == i for i, _, x, _ in rows) and sum(n == 3 for i, *_, n in rows if i == 2) == 2 and texts[10] == "\n\n"
+    named = awkward.withColumn("n_lines", __import__("pyspark").sql.functions.lit("mine"))
+    assert {r.n_lines for r in line_dedup.dedup_lines(named, added=("_a", "_b", "_c")).collect()} == {"mine"}
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
