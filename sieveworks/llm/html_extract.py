@@ -21,9 +21,10 @@ Output text: character references decoded, white space inside a block turned
 into one space and trimmed, blocks joined in page order by two newlines.
 
 Defined results: null and empty pages give the empty string, as do pages without
-main text; text that stands outside any element below the body counts only where
-no element is kept; unclosed and stray
-tags are repaired; repeated rows are extracted each; further columns are
+main text; each run of text directly in the body is an element of its own, which
+is judged like the others; elements that are hidden, and buttons, have no text;
+unclosed and stray tags are repaired; a tag that never ends takes the rest of the
+page, an attribute's quote that never ends is part of its value; repeated rows are extracted each; further columns are
 ignored. Pages are used whole.
 """
 
@@ -42,15 +43,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAINING_PAGES = 260
+TRAINING_PAGES = 900
 SEED = 4_271
-ROUNDS, DEPTH, RATE, BINS = 40, 4, 0.25, 32
+ROUNDS, DEPTH, RATE, BINS = 50, 5, 0.25, 32
 #: Log-odds below which an element inside a kept one is dropped.
 CONFIDENT = -0.5
 
 # Element groups of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object canvas textarea select option datalist math audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object canvas textarea select option datalist math audio video button".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -67,6 +68,7 @@ TAG_GROUPS = (
     ("p", "pre", "blockquote"), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dd", "dt"), ("ul", "ol", "dl", "menu", "dir"), ("article",), ("main",),
     ("section",), ("div", "center"), ("nav",), ("header", "hgroup"), ("footer", "address"), ("aside",), ("form", "fieldset", "dialog"),
     ("table", "tbody", "tr", "td", "th", "thead", "tfoot"), ("figure", "figcaption"), ("html", "body"), ("details", "summary"),
+    ("#text",),
 )
 #: Kinds of tokens in class, id and role.
 TOKEN_KINDS = (
@@ -87,130 +89,213 @@ for _k, _words in enumerate(TOKEN_KINDS):
         _KIND_OF.setdefault(_w, []).append(_k)
 _GROUP_OF = {tag: k for k, tags in enumerate(TAG_GROUPS) for tag in tags}
 
-_TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END_OR_VALUE = re.compile("[>=]")
+_BARE_VALUE = re.compile(r"[^\s>]*")
+_BLANKS = re.compile(r"\s*")
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: The tag of a run of text directly in the body.
+RUN = "#text"
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in sorted(RAW)}
 _SPACE = re.compile(r"\s+")
 
 
 class Element:
     """A block element: its own pieces of text and child elements in page order."""
 
-    __slots__ = ("tag", "kinds", "hidden", "parent", "parts", "depth", "chars", "link_chars", "tags", "paragraphs", "children", "commas", "index", "main", "score")
+    __slots__ = ("tag", "kinds", "hidden", "parent", "parts", "depth", "chars", "link_chars", "tags", "paragraphs", "children", "commas", "index", "main", "score", "nested")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.parts, self.hidden, self.main = tag, parent, [], tag in HIDDEN, None
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = self.link_chars = self.tags = self.paragraphs = self.commas = 0
+        self.chars = self.link_chars = self.tags = self.paragraphs = self.commas = self.nested = 0
         self.children, self.index, self.kinds = [], 0, ()
         if attributes and not attributes.isspace():
             kinds = set()
             for name, *values in _ATTRIBUTE.findall(attributes):
-                value = "".join(values).lower()
                 name = name.lower()
-                if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
-                    self.hidden = True
-                elif name in ("class", "id", "role"):
-                    for token in _TOKEN.findall(value):
+                if name in ("class", "id", "role"):
+                    for token in _TOKEN.findall("".join(values).lower()):
                         kinds.update(_KIND_OF.get(token, ()))
+                elif hides(name, "".join(values)):
+                    self.hidden = True
             self.kinds = tuple(kinds)
 
 
+def hides(name: str, value: str) -> bool:
+    """Whether an attribute takes its element out of the page."""
+    return name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", "")
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """A page's pieces of text, start tags and end tags: ("", text, ""), ("<", name, attributes), ("/", name, "").
+
+    Each character is looked at a fixed number of times, whatever is unclosed.
+    """
+    at, size = 0, len(html)
+    last = {q: html.rfind(q) for q in "\"'"}
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            yield "", html[at:], ""
+            return
+        mark = html[start + 1:start + 2]
+        if mark == "!" or mark == "?":
+            if start > at:
+                yield "", html[at:start], ""
+            close = "-->" if html.startswith("<!--", start) else "]]>" if html.startswith("<![CDATA[", start) else ">"
+            end = html.find(close, start + 2)
+            at = end + len(close) if end >= 0 else size
+            continue
+        name = _NAME.match(html, start + 1 + (mark == "/"))
+        if name is None:  # no tag
+            if mark == "/":
+                if start > at:
+                    yield "", html[at:start], ""
+                end = html.find(">", start)
+                at = end + 1 if end >= 0 else size
+            else:
+                yield "", html[at:start + 1], ""
+                at = start + 1
+            continue
+        if start > at:
+            yield "", html[at:start], ""
+        here = name.end()
+        while True:
+            stop = _END_OR_VALUE.search(html, here)
+            if stop is None:
+                return
+            here = stop.end()
+            if stop[0] == ">":
+                break
+            here = _BLANKS.match(html, here).end()
+            quote = html[here:here + 1]
+            if quote in last and quote and here < last[quote]:
+                here = html.index(quote, here + 1) + 1
+            else:
+                here = _BARE_VALUE.match(html, here).end()
+        at = here
+        tag = name[0].lower()
+        yield ("/" if mark == "/" else "<"), tag, html[name.end():here - 1]
+        if mark != "/" and tag in RAW_ENDS:  # nothing but its end tag ends a raw element
+            end = RAW_ENDS[tag].search(html, at)
+            at = end.start() if end else size
+
+
 def parse(html: str) -> Element:
-    """The block tree of a page; inline elements only count as tags and links."""
+    """The block tree of a page; inline elements only count as tags and links, unless they are hidden."""
     root = Element("html", None)
-    here, links, at = root, 0, 0
-
-    def text(piece: str) -> None:
-        if piece and not here.hidden:
-            n = len(piece)
-            here.parts.append(piece)
-            here.chars += n
-            here.commas += piece.count(",")
-            if links:
-                here.link_chars += n
+    here, links = root, 0
+    opened = {"html": 1}
+    runs: dict[int, Element] = {}
+
+    def open_(tag: str, attributes: str, hidden: bool = False) -> None:
+        nonlocal here
+        child = Element(tag, here, attributes)
+        child.hidden |= here.hidden or hidden
+        if not child.hidden:
+            runs.pop(id(here), None)
+        here.parts.append(child)
+        here.children.append(child)
+        opened[tag] = opened.get(tag, 0) + 1
+        here = child
 
     def close(stop: Element) -> None:
         nonlocal here, links
-        here, links = stop, 0
+        links = 0
+        while here is not stop:
+            opened[here.tag] -= 1
+            here = here.parent
+
+    def end_paragraph() -> None:
+        node = here if opened.get("p") else None
+        while node is not None and node.tag != "p" and node.tag not in ("td", "th", "body", "article", "div", "section", "li"):
+            node = node.parent
+        if node is not None and node.tag == "p":
+            close(node.parent)
 
-    size = len(html)
-    search = _TAG.search
-    while at < size:
-        found = search(html, at)
-        if found is None:
-            text(html[at:])
-            break
-        start = found.start()
-        if start > at:
-            text(html[at:start])
-        at = found.end()
-        name = found[2]
-        if name is None:
+    def text(piece: str) -> None:
+        if not piece or here.hidden:
+            return
+        node = here
+        if node.tag in ("html", "body"):  # a run of its own
+            node = runs.get(id(here))
+            if node is None:
+                if piece.isspace():
+                    return
+                node = runs[id(here)] = Element(RUN, here)
+                here.parts.append(node)
+                here.children.append(node)
+        n = len(piece)
+        node.parts.append(piece)
+        node.chars += n
+        node.commas += piece.count(",")
+        if links:
+            node.link_chars += n
+
+    for kind, name, attributes in tokens(html):
+        if kind == "":
+            text(name)
             continue
-        name = name.lower()
-        if found[1]:  # an end tag
+        if kind == "/":
             if name == "a":
                 links = 0
             elif name == "br":
                 text(" ")
-            elif name in BLOCKS or name in HIDDEN:
+            elif here.nested and here.tag == name:
+                here.nested -= 1
+            elif opened.get(name) and not (name == "html" and here.parent is None):
                 node = here
-                while node is not None and node.tag != name:
+                while node.tag != name:
                     node = node.parent
-                if node is not None and node.parent is not None:
+                if node.parent is not None:
                     close(node.parent)
-                elif name == "p":
-                    here.parts.append(Element("p", here))
+            elif name == "p":
+                here.parts.append(None)
+                runs.pop(id(here), None)
             continue
-        here.tags += 1
-        if name == "a":
-            links = 1
+        runs.get(id(here), here).tags += 1
+        if name in RAW:
             continue
         if name in VOID:
             if name == "br":
                 text(" ")
             elif name == "hr":
+                end_paragraph()
                 here.parts.append(None)
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end else size
+                runs.pop(id(here), None)
             continue
         if name not in BLOCKS and name not in HIDDEN:
+            if here.hidden and here.tag == name:
+                here.nested += 1
+            elif attributes and any(hides(n.lower(), "".join(v)) for n, *v in _ATTRIBUTE.findall(attributes)):
+                open_(name, "", True)
+            elif name == "a":
+                links = 1
             continue
         if name in ("html", "body") and here.parent is None:
             if name == "body":
-                child = Element("body", here, found[3])
-                here.parts.append(child)
-                here.children.append(child)
-                here = child
+                open_("body", attributes)
             continue
-        if name == "body":
+        if name == "body" and opened.get("head"):
             node = here
-            while node is not None and node.tag != "head":
+            while node.tag != "head":
                 node = node.parent
-            if node is not None:
-                close(node.parent)
+            close(node.parent)
         if name in ENDS_P:
-            node = here
-            while node is not None and node.tag != "p" and node.tag not in ("td", "th", "body", "article", "div", "section", "li"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                close(node.parent)
+            end_paragraph()
         if name in ENDED_BY:
             ended, stop = ENDED_BY[name]
-            node, last = here, None
-            while node is not None and node.tag not in stop:
+            node, last, left = here, None, sum(opened.get(t, 0) for t in ended)
+            while left and node is not None and node.tag not in stop:
                 if node.tag in ended:
                     last = node
+                    left -= 1
                 node = node.parent
             if last is not None:
                 close(last.parent)
-        child = Element(name, here, found[3])
-        child.hidden |= here.hidden
-        here.parts.append(child)
-        here.children.append(child)
-        here, links = child, 0
+        links = 0
+        open_(name, attributes)
     return root
 
 
@@ -222,7 +307,7 @@ def elements(root: Element) -> list[Element]:
             child.index = k
         order.extend(c for c in node.children if not c.hidden)
     for node in reversed(order):
-        if node.tag in ("p", "pre", "blockquote"):
+        if node.tag in ("p", "pre", "blockquote", RUN):
             node.paragraphs += node.chars > 60
         up = node.parent
         if up is not None:
@@ -366,8 +451,10 @@ def blocks(root: Element) -> list[str]:
                 if node.main == 2:
                     run.append(part)
             else:
+                if part is not None and part.hidden:
+                    continue
                 flush()
-                if part is not None and not part.hidden and part.main:
+                if part is not None and part.main:
                     stack.append((part, iter(part.parts)))
                     break
         else:
@@ -404,6 +491,8 @@ def training_page(r: random.Random) -> str:
 
     def header() -> str:
         return r.choice((
+            lambda: f"<header{name('site-header', 'masthead')} y=0>{r.choice(('', link() + ' '))}{_sentence(r, 1, 6)}</header>",
+            lambda: f"<header y=0>{_sentence(r, 1, 3)[:-1]}</header>",
             lambda: f"<header{name('site-header', 'masthead')} y=0><div y=0>{_sentence(r, 1, 5)}</div>{menu() if r.random() < 0.5 else ''}</header>",
             lambda: f"<div{named('header', 'topbar', 'masthead', 'banner')} y=0>{r.choice(('<h1 y=0>{}</h1>', '<p y=0>{}</p>', '{}')).format(_sentence(r, 1, 5))}</div>",
         ))()
@@ -439,25 +528,62 @@ def training_page(r: random.Random) -> str:
         lambda: f"<figure y=1><img src=x><figcaption y=1>{_sentence(r, 3, 20)}</figcaption></figure>", lambda: f"<div y=1>{_sentence(r, 8, 80)}</div>", lambda: f"<section y=1><h2 y=1>{_sentence(r, 1, 7)}</h2>{paragraph()}{paragraph()}</section>",
         advert, sidebar, notice, form, lambda: f"<div{named('share', 'social')} y=0>{link()} {link()}</div>",
     ), weights=(24, 3, 2, 1, 1, 1, 1, 2, 2, 1, 0.7, 0.7, 0.4, 0.7))[0]()
-    title = f"<h1 y=1>{_sentence(r, 2, 12)}</h1>" if r.random() < 0.85 else ""
-    body = title + "".join(inner() for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))))
-    if r.random() < 0.15:
+    some = lambda p, f: f() if r.random() < p else ""
+    bare = lambda y: chr(0xE000 + y) + r.choice((_sentence(r, 1, 60), f"{_sentence(r, 1, 30)}<br><br>{_sentence(r, 2, 40)}", f"<b>{_sentence(r, 1, 5)}</b> {_sentence(r, 2, 30)}"))
+    # how much stands around the article: from nothing to everything
+    around = r.choice((0, 0.2, 0.4, 1, 1, 1))
+    title = some(0.75, lambda: f"<h1 y=1>{_sentence(r, 1, 12)}</h1>")
+    if (kind := r.random()) < 0.5:
+        body = title + "".join(inner() for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))))
+    elif kind < 0.8:  # short or plain articles
+        body = title * r.randint(0, 1) + "".join(r.choice(("<p y=1>{}</p>", "<p y=1>{}</p>", "<p y=1><b>{}<br>", "<p y=1>{}")).format(_sentence(r, 1, r.choice((1, 3, 8, 20, 70)))) for _ in range(r.choice((1, 1, 1, 2, 3))))
+    else:
+        body = None
+    headed = bool(body and title and body.startswith(title) and r.random() < 0.12)
+    if headed:
         body = f"<header y=1>{title}</header>" + body.removeprefix(title)
-    if r.random() < 0.15:
+    if body and r.random() < 0.15 * around:
         body += f"<footer{name('meta', 'post-footer')} y=0>{r.choice(('<p y=0>{}</p>', '{}')).format(_sentence(r, 2, 15))}</footer>"
-    if r.random() < 0.2:
+    if body and r.random() < 0.2 * around:
         body += comments()
-    body = r.choices((
-        f"<article{name('post', 'entry', 'story')} y=1>{body}</article>", f"<main y=1>{body}</main>", f"<main y=1><article y=1>{body}</article></main>", f"<div{named('content', 'article-body', 'post', 'entry-content', 'main', 'story')} y=1>{body}</div>",
-        f"<section{named('content', 'article', 'main-text')} y=1>{body}</section>", f'<div role="main" y=1>{body}</div>', f"<div y=1>{body}</div>",
-    ), weights=(8, 2, 2, 4, 1, 1, 1))[0]
-    if r.random() < 0.3:
-        body = f"<div{named('wrapper', 'container', 'page', 'row')} y=1>{r.choice((sidebar, advert, menu, lambda: ''))()}{body}{r.choice((sidebar, advert, comments, lambda: ''))()}</div>"
-    some = lambda p, f: f() if r.random() < p else ""
-    lead = [some(0.4, header), some(0.8, menu), some(0.25, notice), some(0.5, advert), some(0.2, form), some(0.2, sidebar)]
-    tail = [some(0.4, sidebar), some(0.3, comments), some(0.25, advert), some(0.25, notice), some(0.2, form), some(0.2, menu)]
+    if body is None:  # one element, or the page itself, holds the text
+        body = r.choice((
+            lambda: f"<div y=1>{_sentence(r, 3, 90)}</div>", lambda: f"<article{name('post')} y=1>{_sentence(r, 2, 60)}</article>", lambda: f"<main y=1>{_sentence(r, 2, 60)}</main>",
+            lambda: f"<div{named('content', 'post', 'text')} y=1>{_sentence(r, 3, 60)}<br>{_sentence(r, 3, 60)}</div>", lambda: f"{title}{bare(1)}<p y=1>{_sentence(r, 1, 40)}</p>",
+            lambda: f"{title}<p y=1>{_sentence(r, 1, 40)}</p>{bare(1)}", lambda: f"{title}{bare(1)}", lambda: "".join(f"<p y=1>{_sentence(r, 1, 60)}</p>" for _ in range(r.choice((1, 1, 2, 5)))),
+            lambda: "".join(f"<div y=1>{_sentence(r, 2, 60)}</div>" for _ in range(r.choice((1, 2, 5)))), lambda: f"<table y=1><tr y=1><td y=1>{title}<p y=1>{_sentence(r, 5, 90)}</p></td></tr></table>",
+        ))()
+    else:
+        body = r.choices((
+            f"<article{name('post', 'entry', 'story')} y=1>{body}</article>", f"<main y=1>{body}</main>", f"<main y=1><article y=1>{body}</article></main>", f"<div{named('content', 'article-body', 'post', 'entry-content', 'main', 'story')} y=1>{body}</div>",
+            f"<section{named('content', 'article', 'main-text')} y=1>{body}</section>", f'<div role="main" y=1>{body}</div>', f"<div y=1>{body}</div>", body,
+        ), weights=(8, 2, 2, 4, 1, 1, 1, 0 if headed else 1.5))[0]
+        if r.random() < 0.3 * around:
+            body = f"<div{named('wrapper', 'container', 'page', 'row')} y=1>{r.choice((sidebar, advert, menu, lambda: ''))()}{body}{r.choice((sidebar, advert, comments, lambda: ''))()}</div>"
+        elif r.random() < 0.1:
+            body = f"<div y=1><div y=1>{body}</div></div>"
+    lead = [some(p * around, f) for p, f in ((0.6, header), (0.8, menu), (0.25, notice), (0.5, advert), (0.2, form), (0.2, sidebar))]
+    tail = [some(p * around, f) for p, f in ((0.4, sidebar), (0.3, comments), (0.25, advert), (0.25, notice), (0.2, form), (0.2, menu))]
     r.shuffle(tail)
-    return "<!DOCTYPE html><html><head><title>" + _sentence(r, 2, 8) + "</title></head><body>" + "".join(lead) + body + "".join(tail) + some(0.85, footer) + "</body></html>"
+    if r.random() < 0.04:  # a page without an article
+        body = r.choice((menu, lambda: listed(4), footer, notice))()
+    if tail[-1] == "" and not body.endswith(("</div>", "</article>", "</section>", "</main>", "</p>", "</table>")):
+        tail[-1] = "<hr>"
+    end = some(0.85 * around, footer) or some(0.1 * around, lambda: f"<hr>{chr(0xE000)}&copy; 20{r.randint(10, 30)} {_sentence(r, 1, 8)}")
+    inside = "".join(lead) + body + "".join(tail) + end
+    return r.choices((f"<!DOCTYPE html><html><head><title>{_sentence(r, 2, 8)}</title></head><body>{inside}</body></html>", f"<html><body>{inside}</body></html>", inside), weights=(8, 1, 1.5))[0]
+
+
+def labelled(page: str) -> tuple[list[Element], np.ndarray]:
+    """A training page's elements and their labels; -1 for frames, which have none."""
+    order = elements(parse(re.sub(" y=\\d|[\ue000\ue001]", "", page)))
+    # the marks stand in the page in the order of their elements
+    marks = [a or str(ord(b) - 0xE000) for a, b in re.findall("<[a-z0-9]+(?: [^>]*?)? y=(\\d)|([\ue000\ue001])", page)]
+    document = [n for n in _in_page_order(order[0]) if n.tag not in ("html", "body") and not n.hidden]
+    if len(document) != len(marks):
+        raise ValueError(f"{len(document)} elements, {len(marks)} marks: {page}")
+    label = {id(n): int(m) for n, m in zip(document, marks)}
+    return order, np.array([label.get(id(n), -1) for n in order])
 
 
 @lru_cache(maxsize=1)
@@ -465,18 +591,10 @@ def model() -> BoostedTrees:
     """The trained trees; the same in every process."""
     r, rows, labels = random.Random(SEED), [], []
     for _ in range(TRAINING_PAGES):
-        page = training_page(r)
-        order = elements(parse(re.sub(r" y=\d", "", page)))
-        # the labelled page has the same elements in the same order
-        marks = re.findall(r"<[a-z0-9]+(?: [^>]*?)? y=(\d)", page)
-        document = [n for n in _in_page_order(order[0]) if n.tag not in ("html", "body", "head")]
-        if len(document) != len(marks):
-            continue
-        label = {id(n): int(m) for n, m in zip(document, marks)}
-        keep = [k for k, n in enumerate(order) if id(n) in label]
-        rows.append(features(order)[keep])
-        labels += [label[id(order[k])] for k in keep]
-    return BoostedTrees.fit(np.concatenate(rows), np.array(labels, float))
+        order, label = labelled(training_page(r))
+        rows.append(features(order)[label >= 0])
+        labels.append(label[label >= 0])
+    return BoostedTrees.fit(np.concatenate(rows), np.concatenate(labels).astype(float))
 
 
 def _in_page_order(root: Element) -> list[Element]:
@@ -499,10 +617,6 @@ def extract_texts(pages: list[str | None], trees: BoostedTrees) -> list[str]:
             decode(order, raw[at:at + len(order)])
             at += len(order)
         kept = blocks(order[0]) if order else []
-        if order and not kept:  # no element is inside: what stands directly in the page is all there is
-            for node in order:
-                node.main = 2 if node.main == 1 else node.main
-            kept = blocks(order[0])
         out.append("\n\n".join(kept))
     return out
 
