@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -39,6 +40,9 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k"
 #: Pieces that one task numbers; the number of parts follows the number of pieces.
 PIECES_PER_PART = 100_000
+#: A run of white space that the fast matcher may not get through.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 @lru_cache(maxsize=2)
@@ -47,8 +51,9 @@ def encoder(name: str = TOKENIZER):
 
     ``name`` is a public byte-level vocabulary without its suffix: the same one
     is published as ``.json`` for tokenizers and as ``.tiktoken`` ranks. Both
-    give the same ids, also of the added tokens, which the ``.json`` lists; the ranks are read here because they encode over four
-    times as fast.
+    give the same ids, also of the added tokens, which the ``.json`` lists. The
+    ranks encode over four times as fast, but their pattern matcher gives up on
+    very long runs of white space: texts with those go to tokenizers itself.
     """
     import public_tokenizers
     import tiktoken
@@ -58,7 +63,21 @@ def encoder(name: str = TOKENIZER):
     with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
         added = {token["content"]: token["id"] for token in json.load(file).get("added_tokens", ())}
     encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks={token: rank for token, rank in ranks.items() if rank not in added.values()}, special_tokens=added)
-    return partial(encoding.encode, allowed_special="all")
+    fast, whole = partial(encoding.encode, allowed_special="all"), []
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN or not _LONG_RUN.search(text):
+            try:
+                return fast(text)
+            except ValueError:  # the matcher gave up
+                pass
+        if not whole:
+            from tokenizers import Tokenizer
+
+            whole.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+        return whole[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

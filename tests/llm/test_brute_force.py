@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -22,14 +23,14 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
 
 
-def best_fit(lengths, capacity):
-    rooms, n = [], 0
+def best_fit_sequences(lengths, capacity):
+    """The number of sequences of piece-by-piece best-fit decreasing."""
+    rooms = []
     for length in sorted(lengths, reverse=True):
         k = bisect.bisect_left(rooms, length)
         room = rooms.pop(k) if k < len(rooms) else capacity
-        n += room == capacity and k == len(rooms)
         bisect.insort(rooms, room - length)
-    return n
+    return len(rooms)
 
 
 @settings(max_examples=60, deadline=None)
@@ -46,12 +47,7 @@ def test_the_plan_is_best_fit_decreasing(case):
     for pieces in placed.values():
         ends = [o + n for o, n in sorted(pieces)]
         assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= capacity
-    rooms = []
-    for length in sorted(lengths, reverse=True):
-        k = bisect.bisect_left(rooms, length)
-        room = rooms.pop(k) if k < len(rooms) else capacity
-        bisect.insort(rooms, room - length)
-    assert len(placed) == len(rooms)
+    assert len(placed) == best_fit_sequences(lengths, capacity)
 
 
 def test_pieces_hold_the_tokenizers_ids(spark, sf_dir, duck):
@@ -59,7 +55,6 @@ def test_pieces_hold_the_tokenizers_ids(spark, sf_dir, duck):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = registry.queries()["op2_best_fit_packing"](spark, sf_dir).toPandas().set_index(["doc_id", "piece"])
     for doc_id, text in duck.execute("SELECT doc_id, text FROM documents").fetchall():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -68,13 +63,44 @@ def test_pieces_hold_the_tokenizers_ids(spark, sf_dir, duck):
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
 
-def test_ids_are_those_of_tokenizers_defaults():
+@lru_cache(maxsize=1)
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n <|endoftext|>  y", "<|endoftext", "plain text", ""):
-        assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", " ", "  \n", "\t", "it's", "<|endoftext", "|>", "\u3000", "\x85", "\u200b", "12", "é", "漢字"]))).map("".join))
+def test_ids_are_those_of_tokenizers_defaults(text):
+    assert packing.encoder()(text) == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b", "a" * 1_000_000, "x <|endoftext|>" + "\u3000" * 20_000 + "\n" + " " * 9_999, " \n" * 30_000 + "<|endoftext|> end"])
+def test_ids_of_long_runs(text):
+    assert packing.encoder()(text) == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_texts(spark):
+    df = spark.createDataFrame([(1, " " * 2_000_000), (2, "a <|endoftext|>"), (3, "word " * 300_000)], "doc_id long, text string")
+    rows = packing.pack(df, with_ids=False).collect()
+    for i, text in ((1, " " * 2_000_000), (2, "a <|endoftext|>"), (3, "word " * 300_000)):
+        assert sum(r.length for r in rows if r.doc_id == i) == len(tokenizer().encode(text, add_special_tokens=False).ids) + 1
+
+
+@pytest.mark.parametrize("pieces", [1, 10_000_000])
+def test_pieces_are_placed_alike_in_all_parts(spark, monkeypatch, pieces):
+    monkeypatch.setattr(packing, "PIECES_PER_PART", pieces)
+    df = spark.range(400).selectExpr("id AS doc_id", "CAST(0 AS int) AS piece", "CAST(pmod(id * 37, 9) + 1 AS long) AS length")
+    rows = packing.place(df, 20).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        ends = [o + n for o, n in sorted(own)]
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 20
+    assert len(by) == best_fit_sequences([r.length for r in rows], 20)
 
 
 def brute_components(texts, k, percent):
