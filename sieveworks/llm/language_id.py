@@ -13,6 +13,13 @@ its n-gram counts with no loss against adding the long vectors themselves.
 The text's own norm divides every cosine alike and cancels in ``score``, the
 best cosine's share of all positive cosines.
 
+Whether a text is in a learned language at all does not follow from that share,
+which depends on how many languages there are. It is judged by the mean inner
+product of its n-grams with the best prototype: that of the language's own
+training n-grams has a mean and a deviation, both known from the counts. A text
+``fits`` if its mean is at least ``LEAST_FIT`` of the language's, less
+``DEVIATIONS`` standard errors for its number of n-grams.
+
 Defined results: null texts and texts without a letter are ``und`` with score
 0; equal cosines go to the first language by name; without any training rows
 every text is ``und``; repeated rows are scored each; further input columns are
@@ -28,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 DIMENSIONS = 2048
 ORDER = 3
@@ -38,6 +45,9 @@ SEED = 20_011
 UNDETERMINED = "und"
 #: Texts are turned into symbols in pieces of at most so many code points.
 BLOCK = 1 << 20
+LEAST_FIT, DEVIATIONS = 0.5, 3
+#: Languages whose counters a task holds before it passes them on.
+HELD = 64
 
 _LUT: np.ndarray | None = None
 
@@ -48,7 +58,7 @@ def symbol_table() -> np.ndarray:
     if _LUT is None:
         lut = np.zeros(0x110000, np.uint8)
         lut[ord("a"):ord("z") + 1] = np.arange(1, 27)
-        others = np.array([c for c in range(128, 0x30000) if chr(c).isalpha()], np.int64)
+        others = np.array([c for c in range(128, 0x110000) if chr(c).isalpha()], np.int64)
         lut[others] = 27 + (others * 2654435761 % (1 << 32) >> 7) % (SYMBOLS - 27)
         _LUT = lut
     return _LUT
@@ -92,9 +102,14 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """N-gram counts per language over all rows: (lang, code, n).
 
     Each task adds up its own rows first; a task holds at most one array of
-    ``SYMBOLS ** ORDER`` counters per language.
+    ``SYMBOLS ** ORDER`` counters for each of ``HELD`` languages.
     """
 
+    def counters(totals: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for lang, total in totals.items():
+            found = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "code": found.astype(np.int32), "n": total[found]})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -102,11 +117,12 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 if (grams := gram_counts(text)) is not None:
                     total = totals.get(lang)
                     if total is None:
+                        if len(totals) >= HELD:
+                            yield from counters(totals)
+                            totals.clear()
                         total = totals[lang] = np.zeros(SYMBOLS**ORDER, np.int64)
                     total[grams[0]] += grams[1]
-        for lang, total in totals.items():
-            found = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "code": found.astype(np.int32), "n": total[found]})
+        yield from counters(totals)
 
     rows = docs.select(text_col, lang_col).mapInPandas(count, "lang string, code int, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -115,8 +131,8 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 class LanguageModel:
     """Languages and their cosine tables; its size depends on the alphabet and languages only."""
 
-    def __init__(self, languages: list[str], scores: np.ndarray):
-        self.languages, self.scores = languages, scores
+    def __init__(self, languages: list[str], scores: np.ndarray, usual: np.ndarray):
+        self.languages, self.scores, self.usual = languages, scores, usual
 
     @classmethod
     def from_counts(cls, counts: pd.DataFrame) -> LanguageModel:
@@ -137,19 +153,25 @@ class LanguageModel:
         everything = np.arange(SYMBOLS**ORDER)
         for i in range(0, len(everything) if languages else 0, 4096):
             scores[i:i + 4096] = gram_vectors(everything[i:i + 4096]).astype(np.float32) @ prototypes.T
-        return cls(languages, scores)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score of one text."""
+        # mean and deviation of a language's own n-grams
+        shares = weights / np.maximum(weights.sum(axis=1, keepdims=True), 1)
+        own = scores[codes, :len(languages)].T.astype(np.float64)
+        mean = (shares * own).sum(axis=1)
+        return cls(languages, scores, np.stack((mean, np.sqrt(np.maximum(0, (shares * own * own).sum(axis=1) - mean * mean))), axis=1))
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language and score of one text, and whether it fits that language."""
         grams = gram_counts(text) if self.languages else None
         if grams is None:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         cosines = np.maximum(grams[1].astype(np.float64) @ self.scores[grams[0]].astype(np.float64), 0)
         total = cosines.sum()
         if not total > 0:
-            return self.languages[0], 0.0
+            return self.languages[0], 0.0, False
         best = int(np.argmax(cosines))
-        return self.languages[best], float(min(1.0, cosines[best] / total))
+        n, (mean, deviation) = int(grams[1].sum()), self.usual[best]
+        fits = cosines[best] / n >= LEAST_FIT * mean - DEVIATIONS * deviation / n**0.5
+        return self.languages[best], float(min(1.0, cosines[best] / total)), bool(fits)
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -162,17 +184,23 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     return LanguageModel.from_counts(count_grams(rows, text_col, lang_col).toPandas())
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores))
+def judged(docs: DataFrame, model: LanguageModel, text_col: str, name: str) -> DataFrame:
+    """Adds ``name``: a struct of ``lang_pred``, ``score`` and ``fits``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.usual))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fits boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
         own = LanguageModel(*shared.value)
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score", "fits"])
 
-    out = docs.withColumn("_judged", judge(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    return docs.withColumn(name, judge(F.col(text_col)))
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """Adds ``lang_pred`` and ``score``; columns of these names are replaced."""
+    own = free(docs, "_judged")
+    out = judged(docs, model, text_col, own)
+    return out.withColumns({"lang_pred": F.col(own)["lang_pred"], "score": F.col(own)["score"]}).drop(own)
 
 
 def held_out(id_col: str, modulus: int):

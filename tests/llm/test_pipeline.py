@@ -1,11 +1,14 @@
 """The pipeline's stages against plain versions of them, each on the stage's own input."""
 
 import importlib.util
+import random
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sieveworks.llm import decontaminate, language_id, packing
 from tests.llm.test_brute_force import brute_components, edit_distance
@@ -70,14 +73,32 @@ def test_stages_equal_plain_versions(spark, sf_dir, duck):
 
 
 def test_stages_take_awkward_and_no_rows(spark, sf_dir, awkward, nothing):
+    clashing = [c for c in awkward.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    mine = ["lang_pred", "_language", "_judged", "n_lines", "n_repeated", "n_near", "_lines", "judged", "hot", "own", "at", "g", "first", "near", "rid", "n", "signature", "component_id", "kept"]
     for docs in (awkward, nothing):
-        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        docs = docs.withColumns({c: docs["doc_id"] for c in mine})
+        columns = docs.columns
         for name, stage in pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
             if name != "packing":
-                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+                assert docs.columns == columns
+                assert docs.where(" OR ".join(f"NOT ({c} <=> doc_id)" for c in clashing + mine)).count() == 0
         rows = docs.collect()
         assert len({r.doc_id for r in rows}) == (0 if not rows else len({r.doc_id for r in rows if r.piece == 0}))
     near = dict(pipeline.STAGES)["near_duplicates"]
     twice = awkward.where("doc_id = 2").select("doc_id", "text", "lang", "source", "n_chars")
     assert near(spark, twice, sf_dir).count() == 1
+
+
+@pytest.mark.parametrize("labels", [1, 3, 6])
+def test_the_language_decision_holds_for_any_number_of_languages(spark, sf_dir, labels):
+    stage = dict(pipeline.STAGES)["language_id"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.concat("lang", F.pmod(F.xxhash64("doc_id"), F.lit(labels)).cast("string")))
+    kept = stage(spark, docs, sf_dir)
+    assert kept.count() == docs.count() - sum(language_id.gram_counts(r.text) is None for r in docs.select("text").collect())
+    r = random.Random(4)
+    noise = [(10**6 + k, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz漢字日本кдвжф") for _ in range(r.randint(2, 9))) for _ in range(80))) for k in range(20)]
+    more = docs.unionByName(spark.createDataFrame(noise, "doc_id long, text string"), allowMissingColumns=True)
+    assert stage(spark, more, sf_dir).where("doc_id >= 1000000").count() == 0
+    unknown = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    assert stage(spark, unknown, sf_dir).where("lang IS NULL").count() == 0
