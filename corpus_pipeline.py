@@ -11,32 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm import decontaminate, language_id, line_dedup, near_dup, packing
-from sieveworks.llm.common import stored, table
-
-#: Texts whose best language gets less than this share of the cosines are rejected.
-LEAST_SCORE = 0.3
-
+from sieveworks.llm.common import free, stored, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of no learned language."""
-    judged = language_id.predict(docs, language_id.fit(docs))
-    judged = judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return judged.select(*docs.columns)
+    """Learns from the documents with a language; rejects texts without letters and those that fit no learned language.
+
+    Documents without a language get the predicted one. Where no document has a
+    language nothing is learned, and nothing fits.
+    """
+    own = free(docs, "_language")
+    judged = language_id.judged(docs, language_id.fit(docs), "text", own).where(F.col(own)["fits"])
+    return judged.withColumn("lang", F.coalesce("lang", F.col(own)["lang_pred"])).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that occur earlier; documents of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs)
-    cut = F.col("n_repeated") + F.col("n_near") > 0
+    added = tuple(free(docs, name) for name in ("_lines", "_repeated", "_near"))
+    out = line_dedup.dedup_lines(docs, added=added)
+    cut = F.col(added[1]) + F.col(added[2]) > 0
     out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.where(~cut | (F.trim("text") != "")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (5-word shingles, 0.8)."""
-    keyed = docs.withColumn("_row", near_dup.row_key("doc_id", "text"))
-    kept = near_dup.near_duplicates(keyed, size=5, percent=80, id_col="_row").where("kept").select("_row").distinct()
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row", "text"]).select(*docs.columns)
+    row = free(docs, "_row")
+    keyed = docs.withColumn(row, near_dup.row_key("doc_id", "text"))
+    kept = near_dup.near_duplicates(keyed, size=5, percent=80, id_col=row).where("kept").select(row).distinct()
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row, "text"]).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
