@@ -97,12 +97,15 @@ def shared_keys(lines: DataFrame, edits: int) -> DataFrame:
     some = _keyed(lines.where(F.pmod(F.col("h"), F.lit(SHARE)) == 0), "line", edits, "h")
     common = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     common = checkpointed(common.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("common")))
-    keyed = keyed.join(F.broadcast(common), "key", "left") if not common.isEmpty() else keyed.withColumn("common", F.lit(None).cast("boolean"))
-    dealt = keyed.withColumn("at", F.when(F.col("common"), F.xxhash64("key", "x")).otherwise(F.col("key")))
+    at, known = F.col("key"), F.lit(False)
+    if not common.isEmpty():
+        keyed, known = keyed.join(F.broadcast(common), "key", "left"), F.col("common")
+        keyed = keyed.withColumn("at", F.when(known, F.xxhash64("key", "x")).otherwise(F.col("key")))
+        at = F.col("at")
     line = F.expr("shiftright(x, 1)")
-    of_key = W.partitionBy("at")
-    met = dealt.withColumns({"least": F.min(line).over(of_key), "most": F.max(line).over(of_key), "indexed": F.max(F.expr("x & 1")).over(of_key)})
-    return met.where("common OR (least < most AND indexed = 1)").select("key", F.expr("shiftleft(shiftright(x, 1), 1)").alias("h")).distinct()
+    of_key = W.partitionBy(at)
+    met = keyed.withColumns({"least": F.min(line).over(of_key), "most": F.max(line).over(of_key), "indexed": F.max(F.expr("x & 1")).over(of_key)})
+    return met.where(known | F.expr("least < most AND indexed = 1")).select("key", F.expr("shiftleft(shiftright(x, 1), 1)").alias("h")).distinct()
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
