@@ -40,8 +40,13 @@ def set_similarity(a: Column, b: Column) -> Column:
 
 
 def folded_slot(feature: Column, width: int = 2048) -> Column:
-    """The slot of a folded count fingerprint."""
-    return F.pmod(F.crc32(feature.cast("binary")), F.lit(width)).cast("long")
+    """The slot of a folded count fingerprint: 32 bits of the feature's MD5 by ``width``."""
+    return F.pmod(F.conv(F.substring(F.md5(feature.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width))
+
+
+def folded_counts(rows: DataFrame, by: list[str], feature: str, width: int = 2048) -> DataFrame:
+    """Folded count fingerprints in long form: ``by, slot, n``, the counts of all features that fall in a slot."""
+    return rows.groupBy(*by, folded_slot(F.col(feature), width).alias("slot")).agg(F.count("*").alias("n"))
 
 
 def cosine_graph(signatures: DataFrame, node: str = "node", vector: str = "signature") -> DataFrame:

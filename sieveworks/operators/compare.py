@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .selection import bucket_place
+
 SLACK = 1e-12
 
 
@@ -57,8 +59,9 @@ def bootstrap(pairs: DataFrame, bucket: str, order: Sequence[str], deltas: Seque
     (bucket, place) and are added up per replicate and bucket at once, so only
     replicates times buckets rows go on. ``deltas`` are columns of differences.
     """
-    w = W.partitionBy(bucket).orderBy(*order)
-    numbered = pairs.select(bucket, *deltas, (F.row_number().over(w) - 1).alias("_place"), F.count("*").over(W.partitionBy(bucket)).alias("_n"))
+    sizes = pairs.groupBy(bucket).agg(F.count("*").alias("_n"))
+    placed = bucket_place(pairs.select(bucket, *dict.fromkeys([*order, *deltas])), bucket, order, "_nth").withColumnRenamed("_nth", "_place")
+    numbered = placed.select(bucket, *deltas, "_place").join(sizes, bucket)
     draws = numbered.select(bucket, F.col("_place").alias("_slot"), "_n").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     material = F.concat_ws(":", F.lit(str(seed)), F.col("_r").cast("string"), F.col(bucket).cast("string"), F.col("_slot").cast("string"))
     number = F.conv(F.substring(F.sha2(material, 256), 1, 15), 16, 10).cast("long")

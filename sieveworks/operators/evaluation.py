@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -116,13 +117,17 @@ def is_authorised(report: dict, thresholds: dict | None = None) -> bool:
     return report.get("decision") == "PROCEED_TO_SMALL_ONLINE_RL_PILOT" and not report.get("failed_checks") and dict(report.get("thresholds", {})) == t
 
 
-def zscore(value: Column | str, group: Sequence[str], clip: float = 3.0) -> Column:
-    """Population z-score within a group, clipped; 0 where the variance is under 1e-12."""
-    value = F.col(value) if isinstance(value, str) else value
-    w = W.partitionBy(*group)
-    variance = F.var_pop(value).over(w)
-    z = F.try_divide(value - F.avg(value).over(w), F.sqrt(variance))
-    return F.when(variance < 1e-12, 0.0).otherwise(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))
+def with_zscore(rows: DataFrame, value: str, group: Sequence[str], name: str, clip: float = 3.0) -> DataFrame:
+    """Adds the population z-score within a group, clipped; 0 where the variance is under 1e-12.
+
+    One small row per group is joined back, so no group meets in one task.
+    """
+    stats = rows.groupBy(*group).agg(F.avg(value).alias("_mean"), F.var_pop(value).alias("_variance"))
+    keyed = stats.withColumnsRenamed({g: f"_by_{g}" for g in group})
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_by_{g}")) for g in group])
+    z = F.try_divide(F.col(value) - F.col("_mean"), F.sqrt("_variance"))
+    out = rows.join(keyed, same, "left").withColumn(name, F.when(F.col("_variance") < 1e-12, 0.0).otherwise(F.greatest(F.lit(-clip), F.least(F.lit(clip), z))))
+    return out.drop("_mean", "_variance", *(f"_by_{g}" for g in group))
 
 
 def advantages(rows: DataFrame, group: str, candidate: str, weights: dict[str, float], channel: str = "channel", value: str = "value") -> DataFrame:
@@ -132,11 +137,12 @@ def advantages(rows: DataFrame, group: str, candidate: str, weights: dict[str, f
     candidate, advantage, active_channels, zero_signal``.
     """
     entries = [F.lit(x) for item in weights.items() for x in item]
-    rows = rows.withColumns({"_w": F.try_element_at(F.create_map(*entries), F.col(channel)), "_z": zscore(value, [group, channel])}).where("_w IS NOT NULL")
+    rows = with_zscore(rows, value, [group, channel], "_z").withColumn("_w", F.try_element_at(F.create_map(*entries), F.col(channel))).where("_w IS NOT NULL")
     summed = rows.groupBy(group, candidate).agg(F.sum(F.col("_w") * F.col("_z")).alias("_s"))
     active = rows.groupBy(group, channel).agg(F.max((F.abs("_z") > 0).cast("int")).alias("_a")).groupBy(group).agg(F.sum("_a").alias("active_channels"))
-    out = summed.select(group, candidate, zscore("_s", [group]).alias("advantage")).join(active, group)
-    return out.withColumn("zero_signal", F.max(F.abs("advantage")).over(W.partitionBy(group)) == 0)
+    out = with_zscore(summed, "_s", [group], "advantage").drop("_s").join(active, group)
+    most = out.groupBy(group).agg((F.max(F.abs("advantage")) == 0).alias("zero_signal"))
+    return out.join(most, group)
 
 
 def running_totals(history: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

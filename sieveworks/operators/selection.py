@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 
 from ..functions import keys, programs
 
+#: Runs of passages that are broadcast (a passage and two numbers each), else joined by a shuffle.
+BROADCAST_RUNS = 50_000
+
+
 def drop_leaks(rows: DataFrame, held_out: DataFrame, columns: Sequence[str], key: str = "key") -> DataFrame:
     """Rows none of whose key columns is in the held-out keys; Spark picks the join by size."""
     held_out = held_out.select(key).where(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
@@ -29,19 +33,28 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str,
     """Ids of texts that contain a passage, by an equi-join on hashed word runs, not all pairs.
 
     The words of a passage other than its first and last stand in the text
-    exactly, so the run of ``width`` words from the second on does. Runs are
-    looked up by hash and hits confirmed on the text. Passages of fewer words
-    are compared with every text directly.
+    exactly, so the run of up to ``width`` words from the second on does. Runs
+    are looked up by hash and hits confirmed on the text. Only passages of one
+    or two words are compared with every text directly.
     """
     own = passages.select(F.col(passage_col).alias("passage")).where(F.length("passage") > 0).distinct().withColumn("w", F.split("passage", r"\s+"))
-    run_hash = lambda words, start: F.xxhash64(F.array_join(F.slice(words, start, F.lit(width)), " "))
-    runs = own.where(F.size("w") >= width + 2).select("passage", run_hash(F.col("w"), F.lit(2)).alias("run"))
-    short = own.where(F.size("w") < width + 2).select("passage")
-    worded = docs.select(id_col, text_col, F.split(text_col, r"\s+").alias("w")).where(F.size("w") >= width)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: run_hash(F.col("w"), i)))
-    near = worded.select(id_col, F.explode(grams).alias("run")).join(runs, "run").select(id_col, "passage").distinct()
+    own = own.withColumn("size", F.least(F.size("w") - 2, F.lit(width)))
+    run_hash = lambda words, start, size: F.xxhash64(F.array_join(F.slice(words, start, size), " "))
+    runs = own.where("size >= 1").select("passage", "size", run_hash(F.col("w"), F.lit(2), F.col("size")).alias("run"))
+    sizes = [r[0] for r in runs.select("size").distinct().collect()]  # at most ``width`` numbers
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs
+    worded = docs.select(id_col, text_col, F.split(text_col, r"\s+").alias("w"))
+    none = F.array().cast("array<struct<size:int,run:bigint>>")
+
+    def grams_of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("w") - size + 1)
+        return F.when(F.size("w") >= size, F.array_distinct(F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), run_hash(F.col("w"), i, F.lit(size)).alias("run"))))).otherwise(none)
+
+    grams = [grams_of(size) for size in sizes]
+    near = worded.select(id_col, F.inline(F.concat(*grams) if grams else none)).join(runs, ["size", "run"]).select(id_col, "passage").distinct()
     hit = near.join(docs.select(id_col, text_col), id_col).where(F.contains(text_col, "passage")).select(id_col)
-    tiny = docs.join(short, F.contains(docs[text_col], short["passage"])).select(id_col)
+    # one or two words have no inner word: they may start or end inside any word
+    tiny = docs.join(F.broadcast(own.where("size < 1").select("passage")), F.contains(docs[text_col], F.col("passage"))).select(id_col)
     return hit.unionByName(tiny).distinct()
 
 
@@ -65,6 +78,14 @@ def quota_table(spark, buckets: Sequence[str], total: int) -> DataFrame:
     return spark.createDataFrame([(b, base + (k < more)) for k, b in enumerate(buckets)], "bucket string, quota int")
 
 
+def quota_split(rows: DataFrame, bucket: str, total: Column | int) -> DataFrame:
+    """The same for the buckets of a table, in their order: ``bucket, quota``; ``total`` may use their number ``n``."""
+    found = rows.select(F.col(bucket).alias("bucket")).distinct()
+    numbered = found.withColumns({"_i": F.row_number().over(W.orderBy("bucket")) - 1, "n": F.count("*").over(W.partitionBy())})  # one row per bucket
+    total = F.lit(total) if isinstance(total, int) else total
+    return numbered.select("bucket", (F.floor(total / F.col("n")) + (F.col("_i") < total % F.col("n")).cast("int")).cast("int").alias("quota"))
+
+
 def by_quota(rows: DataFrame, quotas: DataFrame, order: Sequence[Column | str], bucket: str = "bucket", exact: bool = False) -> DataFrame:
     """The first rows of each bucket up to its own quota; with ``exact``, raises where rows lack."""
     quotas = quotas.withColumnRenamed("bucket", bucket)

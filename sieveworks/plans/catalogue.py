@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, programs, selection
+from . import evaluation, programs, records, selection
 
 FLAGSHIP = "balanced_clean_selection"
-MODULES = (selection, evaluation, programs)
+MODULES = (selection, evaluation, programs, records)
 
 
 def queries() -> dict:

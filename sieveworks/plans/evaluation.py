@@ -77,7 +77,8 @@ def support_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_zscore_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", r9(evaluation.zscore("value", ["user_id", "event_type"]), "z"))
+    rows = evaluation.with_zscore(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), "value", ["user_id", "event_type"], "z")
+    return rows.select("event_id", r9(F.col("z"), "z"))
 
 
 def decoupled_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,7 @@ def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment_deltas(spark, sf_dir).select(F.crc32(F.col("arm").cast("binary")).alias("step"), "a", "b", (F.col("c") >= -0.01).alias("safe"))
+    rows = segment_deltas(spark, sf_dir).select(F.length("arm").alias("step"), "a", "b", (F.col("c") >= -0.01).alias("safe"))
     return rounded(compare.pick_checkpoint(rows, "step", "a", "b", ["safe"]))
 
 
@@ -282,6 +283,7 @@ SELECT arm, CASE WHEN {_ge('a', 0.02)} AND {_ge('b', -0.02)} AND {_ge('c', -0.02
 CASE WHEN {_ge('a', 0.02, False)} AND {_ge('b', 0.0, False)} AND {_ge('c', -0.02, False)} AND {_ge('d', -0.02, False)} THEN 'supported' ELSE 'not_supported' END AS transfer_aware,
 CASE WHEN {_ge('a', 0.02)} AND {_ge('b', -0.02)} THEN 'positive_transfer' ELSE 'not_supported' END AS shared_transfer, CASE WHEN {_ge('a', 0.02)} AND {_ge('b', 0.0)} AND {_ge('d', -0.02)} THEN 'supported' ELSE 'not_supported' END AS residual,
 a >= 0.02 AND least(b, c, d) >= -0.01 AS promote, a >= 0.02 AS recovers, a >= 0.02 AS shared_gain, a + 0.55::DOUBLE >= 0.5345 AND b + 0.57::DOUBLE >= 0.5694 AS headline FROM {_SEG}""",
+    "checkpoint_argmax": f"SELECT CAST(length(arm) AS INTEGER) AS step, c >= -0.01 AS safe, round(a, 9) AS gain FROM {_SEG} ORDER BY CAST(c >= -0.01 AS INTEGER) DESC, a DESC, least(a, b) DESC, length(arm) LIMIT 1",
     "arm_contrasts": "WITH w AS (SELECT l_linestatus AS metric, avg(l_quantity) FILTER (l_returnflag = 'A') AS a, avg(l_quantity) FILTER (l_returnflag = 'N') AS n, avg(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT metric, c.contrast AS contrast, round(c.delta, 9) AS delta FROM (SELECT metric, unnest([{'contrast': 'A_minus_N', 'delta': a - n}, {'contrast': 'R_minus_N', 'delta': r - n}, {'contrast': 'A_minus_R', 'delta': a - r}]) AS c FROM w)",
     "scale_sweep_pivot": "SELECT l_linenumber, " + ", ".join(f"round(avg(l_quantity) FILTER (l_returnflag = '{x}'), 9) AS \"{x}\"" for x in "ANR") + " FROM lineitem GROUP BY l_linenumber",
     "metric_deltas": "SELECT metric, round(a, 9) AS left_value, round(r, 9) AS right_value, round(r - a, 9) AS delta FROM (SELECT l_linestatus AS metric, avg(l_discount) FILTER (l_returnflag = 'A') AS a, avg(l_discount) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) WHERE a IS NOT NULL AND r IS NOT NULL",

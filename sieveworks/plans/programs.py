@@ -149,11 +149,6 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.round(vectors.set_similarity(F.col("w"), marks), 9).alias("similarity"), F.size("w").alias("n"))
 
 
-def folded_count_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
-    return rows.groupBy("w").agg(F.count("*").alias("n")).select("w", "n")
-
-
 def folded_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", vectors.folded_slot(F.col("p_name"), 64).alias("slot"))
     return rows.groupBy("slot").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
@@ -295,8 +290,11 @@ WITH e AS (SELECT event_id, event_type, value, CAST(json_extract(props, '$.k') A
 SELECT event_id, round(exp(-r) + r - 1, 9) AS kl, round(greatest(0, 0.5::DOUBLE + r - value / 100) * CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END, 9) AS hinge, round((value * a + (value + 1) * c) / greatest(a + c, 1), 9) AS masked,
 CASE WHEN event_id * 8 % 13 = 0 THEN event_id * 8 // 13 END AS per_bucket, round(CASE WHEN k <> 50 THEN value / (k - 50) END, 9) AS ratio FROM r""",
     "alias_normalise": f"SELECT p_partkey, {_alias(SPELLINGS, lambda w: programs.PROPERTY_NAMES.get(_plain(w), ''))}[p_partkey % 8 + 1] AS property, {_alias(WORDS, lambda w: _dirs.get(_plain(w), ''))}[p_partkey % 8 + 1] AS direction, [true, false, true, true, false, false][p_partkey % 6 + 1] AS yes FROM part",
-    "task_key_label": f"SELECT p_partkey, label, label IN ({', '.join(repr(x) for x in programs.REGISTERED_TASKS)}) AS registered, sha256(js) AS hash FROM (SELECT p_partkey, {_LABEL} AS label, {_JSON} AS js FROM {_TWO})",
-    "control_programs": "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n, 'MW:around=' || printf('%.6f', round(p_retailprice / 3, 6)) || CASE WHEN p_size % 2 = 0 THEN '+QED:increase' ELSE '' END AS label FROM part",
+    "task_key_label": f"""
+WITH t AS (SELECT p_partkey, {_LABEL} AS own, {_JSON} AS js, list_sort([p1 || ':' || d1, p2 || ':' || d2]) AS parts FROM {_TWO}),
+k AS (SELECT *, array_to_string(parts, '+') IN ('HBA:decrease+LogP:increase', 'HBA:decrease+MW:decrease', 'HBA:decrease+SA:decrease', 'QED:increase+SA:decrease') AS registered FROM t)
+SELECT p_partkey, CASE WHEN registered THEN array_to_string(parts, '+') ELSE own END AS label, registered, sha256(js) AS hash FROM k""",
+    "control_programs": "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n, 'MW:around=' || regexp_replace(regexp_replace(printf('%.6f', round(p_retailprice / 3, 6)), '0+$', ''), '[.]$', '.0') || CASE WHEN p_size % 2 = 0 THEN '+QED:increase' ELSE '' END AS label FROM part",
     "strict_response_parse": """
 WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'MODIFY' ELSE 'BUILD' END AS want, CASE WHEN p_partkey % 3 = 0 THEN 'BUILD' ELSE 'MODIFY' END AS plan, p_partkey % 7 <> 0 AS whole, replace(p_name, ' ', '_') AS name FROM part)
 SELECT p_partkey, whole AND plan = want AS strict_parse, whole AND plan = want AS valid, whole AND plan = want AS canonical, CASE WHEN whole AND plan = want THEN name ELSE '' END AS smiles, '{"plan":"' || want || '","smiles":"' || name || '"}' AS answer FROM p""",
@@ -305,7 +303,7 @@ SELECT p_partkey, whole AND plan = want AS strict_parse, whole AND plan = want A
     "message_contract_check": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) = 'user,assistant' AND bool_and(length(trim(text)) > 0) AS is_pair, conv_id % 3 <> 0 AND arg_min(role, turn) <> 'assistant' AS blind, count(*) AS turns FROM conversations GROUP BY conv_id",
     "prompt_messages": f"""SELECT p_partkey, '{{"conditions":' || {_JSON} || ',"source":"' || CASE WHEN p_size % 2 = 0 THEN '<EMPTY>' ELSE p_brand END || '"}}' AS content, CASE WHEN p_size % 2 = 0 THEN 'de_novo' ELSE 'edit' END AS mode, CAST(2 AS INTEGER) AS conditions FROM {_TWO}""",
     "token_jaccard": "WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) SELECT doc_id, round(len(list_intersect(w, m))::DOUBLE / (len(w) + len(m) - len(list_intersect(w, m))), 9) AS similarity, CAST(len(w) AS INTEGER) AS n FROM w, (SELECT ['the', 'of', 'de', 'la', 'und', 'to'] AS m)",
-    "folded_count_fingerprint": "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w",
+    "folded_slots": "SELECT CAST(('0x' || substr(md5(p_name), 1, 8))::UBIGINT % 64 AS BIGINT) AS slot, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY slot",
     "centroid_cosine_graph": f"""
 WITH c AS {_CENTROID}, n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label), d AS (SELECT CAST(a.label AS VARCHAR) AS src, CAST(b.label AS VARCHAR) AS dst, sum(a.x * b.x) AS s, any_value(na.n) * any_value(nb.n) AS nn FROM c a JOIN c b ON a.i = b.i AND CAST(a.label AS VARCHAR) < CAST(b.label AS VARCHAR) JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY ALL)
 SELECT src, dst, round(s / nn, 8) AS cosine FROM d""",
@@ -326,6 +324,6 @@ SELECT conv_id, turn, CAST(prefix AS INTEGER) AS prefix, CAST(len(l) AS INTEGER)
 }
 QUERIES = {f.__name__: f for f in (
     condition_margins, softmin_bottleneck, soft_reward, hard_reward, reward_channels, losses, alias_normalise, task_key_label, control_programs, strict_response_parse, last_tag_extract, clause_texts, message_contract_check, prompt_messages,
-    token_jaccard, folded_count_fingerprint, folded_slots, centroid_cosine_graph, l2_normalise, gradient_bisector, spectral_layout, route_vectors_binary, route_vectors_weighted, label_mask_arrays, pad_to_batch, distinct_scoring, missing_oracles,
+    token_jaccard, folded_slots, centroid_cosine_graph, l2_normalise, gradient_bisector, spectral_layout, route_vectors_binary, route_vectors_weighted, label_mask_arrays, pad_to_batch, distinct_scoring, missing_oracles,
     property_histogram, file_identity,
 )}

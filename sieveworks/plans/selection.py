@@ -58,14 +58,13 @@ def hash_mod_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quota_split_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = sorted(r[0] for r in documents(spark, sf_dir).select("lang").distinct().limit(1000).collect())
-    return selection.quota_table(spark, langs, 30 + len(langs) // 2)
+    return selection.quota_split(documents(spark, sf_dir), "lang", 30 + F.floor(F.col("n") / 2))
 
 
 def quota_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = sorted(r[0] for r in documents(spark, sf_dir).select("lang").distinct().limit(1000).collect())
-    rows = documents(spark, sf_dir).select("doc_id", "lang", keys.stable_key(SEED, F.col("doc_id")).alias("key"))
-    return selection.by_quota(rows, selection.quota_table(spark, langs, 61), ["key", "doc_id"], "lang").select("doc_id", "lang")
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", "lang", keys.stable_key(SEED, F.col("doc_id")).alias("key"))
+    return selection.by_quota(rows, selection.quota_split(docs, "lang", 61), ["key", "doc_id"], "lang").select("doc_id", "lang")
 
 
 def bucket_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_greedy_assignment_equals_a_loop_and_depends_on_order(spark):
 
 def test_zscores_clip_and_vanish_without_variance(spark):
     rows = spark.createDataFrame([("a", float(x)) for x in [0] * 15 + [100]] + [("b", 1.0)] * 3, "g string, x double")
-    out = [(r.g, r.z) for r in rows.select("g", evaluation.zscore("x", ["g"]).alias("z")).collect()]
+    out = [(r.g, r.z) for r in evaluation.with_zscore(rows, "x", ["g"], "z").select("g", "z").collect()]
     assert max(z for g, z in out if g == "a") == 3.0 and {z for g, z in out if g == "b"} == {0.0}
 
 
@@ -236,3 +236,26 @@ def test_plugins_score_distinct_texts_once(spark):
     assert sorted(str(r.x) for r in df.select(domain.score("len", F.col("t")).alias("x")).collect()) == ["2.0", "2.0", "None"]
     assert domain.score("none", F.col("t")) is not None and domain.provenance(spark).count() == 1
     assert plugins.score_once(df, "t", lambda c: F.length(c), "n").count() == 3
+
+
+def test_containing_passages_of_all_lengths(spark):
+    texts = ["alpha beta gamma delta epsilon zeta eta", "the cat sat on a mat", "xalpha betax", "one two three four", "no match here", ""]
+    passages = ["pha beta gamma delta epsilon zet", "at sat on", "pha bet", "three", "wo three fou", "eta theta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = selection.containing(docs, spark.createDataFrame([(p,) for p in passages], "p string"), "id", "text", "p")
+    assert sorted(r.id for r in found.collect()) == [k for k, t in enumerate(texts) if any(p in t for p in passages)]
+
+
+def test_registered_labels_are_as_known(spark):
+    from sieveworks.functions import programs
+
+    cases = {
+        (("LogP", "up"), ("HBA", "lower")): "HBA:decrease+LogP:increase", (("SA", "down"), ("MW", "down"), ("DRD2", "down")): "DRD2:decrease+MW:decrease+SA:decrease",
+        (("QED", "down"), ("MW", "up"), ("HBA", "up")): "HBA:increase+MW:increase+QED:decrease", (("LogP", "up"), ("HBA", "up")): "LogP:increase+HBA:increase", (("RB", "lower"),): "RB:decrease",
+    }
+    import json
+
+    rows = spark.createDataFrame([(json.dumps([{"property": p, "direction": d} for p, d in c]), w) for c, w in cases.items()], "tasks string, want string")
+    none = F.lit(None).cast("string")
+    got = rows.select("want", programs.task_label(programs.from_instructions(F.col("tasks"), none, none)).alias("label")).collect()
+    assert all(r.label == r.want for r in got) and set(programs.SHARED_TASKS) < set(programs.REGISTERED_TASKS)
