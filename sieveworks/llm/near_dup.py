@@ -13,15 +13,18 @@ of 4 rows, 24 of them, a pair at similarity 0.85 is missed with a chance of
 2e-8, at 0.8 of 3e-6.
 
 1. Rows with equal sets form one class, by a 64-bit hash of the whole set.
-2. Each band value with several classes gives one candidate edge from each of
-   them to the smallest, never all pairs. Components of these edges are
-   blocks: two classes that share any band are in one block.
-3. Full sets are brought together once, by block, and links are confirmed on
-   them. Inside a block a pair is compared unless both are already connected,
-   or sizes or signatures rule it out (five standard deviations below the
-   threshold). Each task returns a spanning forest, not all links. A block of
-   over ``TILE`` classes is cut into tiles of pairs of parts, so a task holds
-   at most 2 * ``TILE`` sets however large the block is.
+2. Inside each band value classes are compared by their signatures, one byte a
+   coordinate: first all with the smallest, then those that are not near it
+   with all. Classes are near if their signatures agree as far as five standard
+   deviations below the threshold. Each task gives a spanning forest of the
+   near pairs, never all of them; large band values are cut into tiles.
+3. Components of these edges are blocks: small groups of likely links, not the
+   closure of everything that shares a band. Full sets are brought together by
+   block, and links are confirmed on them. Inside a block a pair is compared
+   unless both are already connected, or sizes or signatures rule it out.
+   A large block is cut into parts of at most ``TILE`` classes and ``TILE_BYTES``
+   of sets, which meet the block's first class as well; only classes outside
+   the block's largest component then meet all other parts.
 4. Components of the confirmed links give the result.
 
 Defined results: a null or blank text has an empty set, is linked with nothing
@@ -47,7 +50,9 @@ from .components import components
 ROWS, BANDS = 4, 24
 COORDINATES = ROWS * BANDS
 #: Classes whose sets are compared with each other in one task.
-TILE = 2000
+TILE, TILE_BYTES = 2000, 64 << 20
+#: Signatures of a band value that are compared with each other in one task.
+BAND_TILE = 4096
 #: Shingles that are permuted at once.
 BLOCK = 1 << 15
 
@@ -155,27 +160,96 @@ def described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
     return out.withColumns({"id": F.col("id").cast(dict(docs.dtypes)[id_col]), "key": F.col("key").cast("long")})
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """From every class to the smallest class that shares a band with it: ``a, b``."""
+def least_equal(percent: int) -> int:
+    """Equal coordinates that a pair at the threshold has but for five standard deviations."""
+    share = percent / 100
+    return int(np.floor(COORDINATES * (share - 5 * (share * (1 - share) / COORDINATES) ** 0.5)))
+
+
+def _brief(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, COORDINATES)
+
+
+def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that connect all classes which share a band and have near signatures."""
+    least_ = least_equal(percent)
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 signature = np.frombuffer(b"".join(batch["signature"]), np.uint32).reshape(-1, COORDINATES)
-                yield pd.DataFrame({"band": band_keys(signature).reshape(-1), "key": np.repeat(batch["key"].to_numpy(), BANDS)})
-
-    rows = classes.select("key", "signature").mapInPandas(bands, "band long, key long")
-    least = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    return rows.join(least.select("band", "least"), "band").where("key > least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+                brief = [r.tobytes() for r in (signature & 0xFF).astype(np.uint8)]
+                yield pd.DataFrame({"band": band_keys(signature).reshape(-1), "key": np.repeat(batch["key"].to_numpy(), BANDS), "brief": [x for x in brief for _ in range(BANDS)]})
 
-
-def _spanning(sets: list[np.ndarray], marks: np.ndarray, percent: int, left: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets; with ``left``, only pairs of a left and a right one."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = (_brief(batch["brief"].tolist()) == _brief(batch["other"].tolist())).sum(axis=1) >= least_
+                yield batch[["band", "key", "brief", "m", "least"]].assign(near=near)
+
+    rows = classes.select("key", "signature").mapInPandas(bands, "band long, key long, brief binary")
+    several = checkpointed(rows.select("band", "key").groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("m")).where("m > 1"))
+    shared = checkpointed(rows.join(several, "band"))
+    first = shared.where("key = least").select("band", F.col("brief").alias("other"))
+    met = checkpointed(shared.where("key > least").join(first, "band").mapInPandas(compare, "band long, key long, brief binary, m long, least long, near boolean"))
+    edges = met.where("near").select(F.col("least").alias("a"), F.col("key").alias("b"))
+
+    # those not near the smallest meet all others of the band value
+    far = met.where("NOT near AND m > 2")
+    parts = far.groupBy("band").agg(F.ceil(F.count("*") / BAND_TILE).cast("int").alias("lefts"), F.ceil(F.max("m") / BAND_TILE).cast("int").alias("rights"))
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = far.join(parts, "band").select("band", "key", "brief", F.lit(True).alias("far"), part("lefts").alias("low"), each("rights").alias("high"))
+    right = met.join(parts, "band").select("band", "key", "brief", F.lit(False).alias("far"), part("rights").alias("high"), each("lefts").alias("low"))
+
+    def forest(rows_: pd.DataFrame) -> list[tuple[int, int]]:
+        own, other = rows_[rows_["far"]], rows_[~rows_["far"]]
+        keys, marks = other["key"].to_numpy(), _brief(other["brief"].tolist())
+        label = dict(zip(keys.tolist(), range(len(keys))))
+        groups, out = np.arange(len(keys)), []
+        for k, (key, brief) in enumerate(zip(own["key"].tolist(), _brief(own["brief"].tolist()))):
+            near = np.flatnonzero((marks == brief).sum(axis=1) >= least_)
+            at = label.get(key)  # the same class may stand on both sides
+            seen = np.unique(groups[near])
+            mine = groups[at] if at is not None else (seen[0] if len(seen) else -1)
+            if at is None and len(near):
+                out.append((key, int(keys[near[groups[near] == mine][0]])))
+            for g in seen:
+                if g != mine:
+                    out.append((key, int(keys[near[groups[near] == g][0]])))
+                    groups[groups == g] = mine
+        return out
+
+    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch[["band", "low", "high"]].to_numpy()
+            cuts = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+            pieces = np.split(np.arange(len(batch)), cuts)
+            found = []
+            for n, piece in enumerate(pieces):
+                rows_ = batch.iloc[piece]
+                if held and (held[-1][["band", "low", "high"]].iloc[0].to_numpy() != own[piece[0]]).any():
+                    found += forest(pd.concat(held))
+                    held = []
+                held.append(rows_)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if held:
+            yield pd.DataFrame(forest(pd.concat(held)), columns=["a", "b"], dtype="int64")
+
+    both = left.unionByName(right)
+    more = both.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInPandas(tiles, "a long, b long")
+    return edges.unionByName(more).distinct()
+
+
+def _spanning(sets: list[np.ndarray], marks: np.ndarray, percent: int, left: np.ndarray | None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, but for those of one label; with ``left``, only pairs of a left and a right one."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    parent = np.arange(m)
-    spread = (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
-    least_equal = int(np.floor(COORDINATES * (percent / 100 - 5 * spread)))
+    parent = np.arange(m) if labels is None else np.unique(labels, return_inverse=True)[1]
+    enough = least_equal(percent)
     ends = np.cumsum(size)
     flat = np.concatenate(sets)
     links = []
@@ -185,7 +259,7 @@ def _spanning(sets: list[np.ndarray], marks: np.ndarray, percent: int, left: np.
             near = near[left[near] != left[i]]
         if len(near):
             equal = (marks[near] == marks[i]).sum(axis=1)
-            near = near[np.argsort(-equal, kind="stable")][:np.count_nonzero(equal >= least_equal)]
+            near = near[np.argsort(-equal, kind="stable")][:np.count_nonzero(equal >= enough)]
         # the likeliest first: once connected, a whole component needs no more comparisons
         while len(near):
             step, near = near[:64], near[64:]
@@ -205,15 +279,10 @@ def _spanning(sets: list[np.ndarray], marks: np.ndarray, percent: int, left: np.
 
 
 def confirmed(docs: DataFrame, blocks: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Spanning links ``a, b`` of the classes in ``blocks`` (key, block, rid, signature), confirmed on full sets."""
-    counts = blocks.groupBy("block").agg(F.count("*").alias("m"))
-    blocks = blocks.join(counts, "block").withColumn("parts", F.ceil(F.col("m") / TILE).cast("int"))
-    # part i of a large block goes to the tiles (i, j) of all parts j
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select("rid", "key", "signature", "block", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    # texts are joined once per class, then copied to the class's tiles
-    wanted = blocks.select("rid", "key").distinct()
+    """Spanning links ``a, b`` of the classes in ``blocks`` (key, block, rid, n, signature), confirmed on full sets."""
+    counts = blocks.groupBy("block").agg(F.count("*").alias("m"), F.sum(F.col("n") * 8).alias("bytes"), F.min("key").alias("first"))
+    split = F.ceil(F.greatest(F.col("m") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
+    blocks = checkpointed(blocks.join(counts.select("block", "first", split.alias("parts")), "block"))
     texts = docs.select(row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,17 +297,41 @@ def confirmed(docs: DataFrame, blocks: DataFrame, size: int, percent: int, id_co
                     rows.append((key, own.tobytes()))
             yield pd.DataFrame(rows, columns=["key", "elements"])
 
-    full = texts.join(wanted, "rid").select("key", "text").mapInPandas(sets, "key long, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
-
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("key")
+        own = group.sort_values(["key", "side"])
         keys = own["key"].to_numpy()
-        left = (own["part"] == own["low"]).to_numpy() if own["low"].iloc[0] != own["high"].iloc[0] else None
+        sides, labels = own["side"].to_numpy(), own["label"].to_numpy()
         marks = np.frombuffer(b"".join(own["signature"]), np.uint32).reshape(-1, COORDINATES)
-        found = _spanning([np.frombuffer(e, np.uint64) for e in own["elements"]], marks, percent, left)
+        found = _spanning([np.frombuffer(e, np.uint64) for e in own["elements"]], marks, percent, sides if sides.any() else None, labels)
         return pd.DataFrame([(keys[i], keys[j]) for i, j in found], columns=["a", "b"], dtype="int64")
 
-    return tiles.join(full, "key").groupBy("block", "low", "high").applyInPandas(link, "a long, b long")
+    def compared(tiles: DataFrame) -> DataFrame:
+        # texts are joined once per class, then copied to the class's tiles
+        wanted = tiles.select("rid", "key").distinct()
+        full = texts.join(wanted, "rid").select("key", "text").mapInPandas(sets, "key long, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
+        return tiles.join(full, "key").groupBy("block", "low", "high").applyInPandas(link, "a long, b long")
+
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = ["rid", "key", "signature", "block"]
+    plain = blocks.where("parts = 1 OR key != first").select(*mine, part("parts").alias("low"))
+    heads = blocks.where("parts > 1 AND key = first").select(*mine, each("parts").alias("low"))
+    same = plain.unionByName(heads).withColumns({"high": F.col("low"), "side": F.lit(0), "label": F.col("key")})
+    links = compared(same)
+    large = blocks.where("parts > 1")
+    if large.isEmpty():
+        return links
+    links = checkpointed(links)
+    known = components(links.join(large.select(F.col("key").alias("a")), "a", "left_semi"))
+    large = checkpointed(large.join(known.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    # pairs of two components have a class outside the block's largest
+    by_label = large.groupBy("block", "label").agg(F.count("*").alias("m"))
+    most = by_label.groupBy("block").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
+    outside = large.join(most, "block").where("label != most")
+    lefts = outside.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.col("n") * 8) / TILE_BYTES)).cast("int").alias("lefts"))
+    left = outside.join(lefts, "block").select(*mine, "label", part("lefts").alias("low"), each("parts").alias("high"), F.lit(1).alias("side"))
+    right = large.join(lefts, "block").select(*mine, "label", each("lefts").alias("low"), part("parts").alias("high"), F.lit(0).alias("side"))
+    return links.unionByName(compared(left.unionByName(right)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,10 +340,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Returns ``id_col, n_shingles, component_id, kept``, a row for each input row.
     """
     rows = checkpointed(described(docs, size, id_col, text_col))
-    classes = checkpointed(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("signature").alias("signature")))
-    blocks = components(candidate_edges(classes))
+    classes = checkpointed(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    blocks = components(candidate_edges(classes, percent))
     named = blocks.select(F.col("node").alias("key"), F.col("component").alias("block")).join(classes, "key")
-    named = named.select("key", "block", "rid", "signature")
+    named = named.select("key", "block", "rid", "n", "signature")
     links = components(confirmed(docs, named, size, percent, id_col, text_col))
     # the smallest id of each component of classes
     joined = classes.select("key", "id").join(links.select(F.col("node").alias("key"), "component"), "key", "left")

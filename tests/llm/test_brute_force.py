@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, registry, secret_scan
+from sieveworks.llm import components, decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, registry, secret_scan
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -129,9 +129,10 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir, duck):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-@pytest.mark.parametrize("tile", [2000, 7])
-def test_chains_and_tiles_of_near_duplicates(spark, monkeypatch, tile):
-    monkeypatch.setattr(near_dup, "TILE", tile)
+@pytest.mark.parametrize("switches", [{}, {"TILE": 7}, {"TILE": 3, "BAND_TILE": 2}, {"TILE_BYTES": 2000, "BAND_TILE": 5}])
+def test_chains_and_tiles_of_near_duplicates(spark, monkeypatch, switches):
+    for name, value in switches.items():
+        monkeypatch.setattr(near_dup, name, value)
     r = random.Random(5)
     base = [f"w{r.randrange(10**6)}" for _ in range(80)]
     texts = []
@@ -139,11 +140,42 @@ def test_chains_and_tiles_of_near_duplicates(spark, monkeypatch, tile):
         texts.append((k, " ".join(base)))
         base = base[:]
         base[r.randrange(80)] = f"n{k}"
+    star = [f"s{r.randrange(10**6)}" for _ in range(90)]
+    for k in range(60, 90):  # near copies of one text, and some of those
+        own = star[:]
+        for _ in range(r.randint(0, 6)):
+            own[r.randrange(90)] = f"x{r.randrange(10**6)}"
+        texts.append((k, " ".join(own)))
+    for k in range(90, 120):  # half alike: they share bands, but are not linked
+        texts.append((k, " ".join(star[:45] + [f"y{r.randrange(10**6)}" for _ in range(20)])))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(df, 3, 85).collect()}
     assert got == brute_components(texts, 3, 85)
 
 
+@pytest.mark.parametrize("limit", [0, 300_000])
+def test_components_of_any_graph_take_few_rounds(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "BROADCAST_NODES", limit)
+    r = random.Random(7)
+    edges = [(k, k + 1) for k in range(1000)] + [(2000, 2000 + k) for k in range(1, 400)] + [(5000 + r.randrange(300), 5000 + r.randrange(300)) for _ in range(200)] + [(9000, 9000), (None, 4), (7, 6), (6, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    rounds = []
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {x.node: x.component for x in components.components(df, rounds=rounds).collect()}
+    assert got == {x: find(x) for x in parent} and len(rounds) < 25
+    assert components.components(df.where("a < -5")).count() == 0
+
+
 def test_language_on_held_out_documents(spark, sf_dir, duck):
     langs = dict(duck.execute("SELECT doc_id, lang FROM documents").fetchall())
     rows = registry.queries()["op6_language_id"](spark, sf_dir).collect()
