@@ -1,28 +1,33 @@
 """Benchmark decontamination: benchmark items that occur in documents, up to edits.
 
-Texts are lower-cased words. An item of W words occurs in a document if some
-passage is within ``floor(EDITS * W)`` word edits of it. Candidates come from
-the CGK random walk: a walk over a sequence repeats or advances its symbol at
-each step by a random bit of (walk, step, symbol), which turns edits into few
-changed coordinates of the walk. Two random coordinates of a walk make one LSH
-key; windows of the item's size are candidates for the item if a key of any of
-``WALKS`` walks agrees. Candidates are confirmed by exact edit distance against
-the best passage around the window.
+Texts are lower-cased words; each letter of a script that writes no blanks is a
+word. An item of W words occurs in a document if some passage is within
+``floor(EDITS * W)`` word edits of it. Candidates come from the CGK random walk: a
+walk over a sequence repeats or advances its symbol at each step by a random bit
+of (walk, step, symbol), which turns edits into few changed coordinates of the
+walk. Two random coordinates of a walk make one key of bit-sampling LSH. The
+items' keys are held in ``WALKS`` hash tables for each item length; windows of the
+item's size look up their own keys there, and what any table returns is a
+candidate. Candidates are confirmed by exact edit distance against the best
+passage around the window.
 
 With a share h of changed coordinates a walk's key agrees with a chance of
-(1 - h)^2, so 24 walks miss with (1 - (1 - h)^2)^24: 0.1 % at h = 0.5.
+(1 - h)^2, so 32 walks miss with (1 - (1 - h)^2)^32: 1.5 % at h = 0.65.
 
-Only windows that can hold the item are walked: by the q-gram lemma a passage
-within t edits of an item of W words shares at least W - 2 - 3t of its word
-triples, near their own places. That test loses nothing.
+Windows are walked only where some item may be: by the q-gram lemma a passage
+within t edits of an item of W words holds at least W - q + 1 - qt of the items'
+runs of q words; q is the largest up to 3 for which that is one at least, so there
+is no least length. That looks at all items together and loses nothing.
 
 Benchmarks are small beside the corpus: they are searched for in passes of at
-most ``PASS_ITEMS`` items, so a task never holds more than those.
-
-Defined results: null or empty texts hold no item; items with null text or
-fewer than ``MIN_WORDS`` words are not searched for; repeated documents are
-reported each, items with one id once; null ids are carried; further columns
-are ignored. An empty table on either side gives no rows. Texts are used whole.
+most ``PASS_ITEMS`` items and about ``PASS_CHARS`` characters, so a task never
+holds more than those, however large the benchmark is; each pass reads the corpus.
+
+Defined results: null or empty texts hold no item; items with null text or no
+word are not searched for, items of up to three words only as they stand
+(``min_words`` leaves out short ones); repeated documents are reported each, items
+with one id and text once; null ids are carried; further columns are ignored. An
+empty table on either side gives no rows. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,15 +46,23 @@ from pyspark.sql import functions as F
 from .common import table
 
 EDITS = 0.25
-WALKS = 24
-MIN_WORDS = 9
-PASS_ITEMS = 20_000
+WALKS = 32
+PASS_ITEMS, PASS_CHARS = 20_000, 16_000_000
+#: Windows times steps that are walked at once.
+BLOCK = 1 << 16
 SEED = 77_003
+# Letters of scripts that write no blanks between words (Thai to Khmer, kana, CJK).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_LETTER = re.compile(f"[{_UNSPACED}]")
 _WORD = re.compile(r"\w+")
+_EACH = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_EACH if not text.isascii() and _LETTER.search(text) else _WORD).findall(text)
 
 
 def _bits(symbols: np.ndarray, step: int, walks: np.ndarray) -> np.ndarray:
@@ -59,23 +73,29 @@ def _bits(symbols: np.ndarray, step: int, walks: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(60)) & np.uint64(1)
 
 
-def walk_keys(windows: np.ndarray) -> np.ndarray:
-    """CGK keys of equally long symbol sequences: shape (sequences, WALKS, 2)."""
-    n, width = windows.shape
-    rng = np.random.default_rng([SEED, width])
-    walks = rng.integers(0, 1 << 63, WALKS, dtype=np.uint64)
-    sampled = rng.integers(0, 2 * width, (WALKS, 2))
-    padded = np.concatenate((windows, np.full((n, 1), -1, windows.dtype)), axis=1)
-    keys = np.empty((n, WALKS, 2), windows.dtype)
-    at = np.zeros((n, WALKS), np.int64)
-    row = np.arange(n)[:, None]
-    for step in range(int(sampled.max()) + 1):
-        symbols = padded[row, at]
-        for which in (0, 1):
-            taken = sampled[:, which] == step
-            keys[:, taken, which] = symbols[:, taken]
-        at = np.minimum(at + _bits(symbols, step, walks[None, :]).astype(np.int64), width)
-    return keys
+def sampled_steps(width: int) -> np.ndarray:
+    """The two steps of each walk that make its key for sequences of a length: shape (WALKS, 2)."""
+    return np.random.default_rng([SEED, width]).integers(0, 2 * width, (WALKS, 2))
+
+
+def walk(symbols: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All walks from some places: how far they are, and at which symbol, before each of the (ascending) ``steps``.
+
+    A walk does not depend on where its sequence ends, so one walk serves
+    sequences of every length. Beyond the last symbol it stands at -1.
+    """
+    seeds = np.random.default_rng(SEED).integers(0, 1 << 63, WALKS, dtype=np.uint64)[None, :]
+    wanted = {int(step): k for k, step in enumerate(steps)}
+    far, met = np.empty((len(steps), len(starts), WALKS), np.int32), np.empty((len(steps), len(starts), WALKS), np.int64)
+    padded = np.append(symbols, -1)
+    at = np.broadcast_to(np.asarray(starts, np.int64)[:, None], (len(starts), WALKS)).copy()
+    for step in range(int(steps[-1]) + 1 if len(steps) else 0):
+        here = padded[np.minimum(at, len(symbols))]
+        if (k := wanted.get(step)) is not None:
+            np.subtract(at, starts[:, None], out=far[k], casting="unsafe")
+            met[k] = here
+        at += _bits(here, step, seeds).view(np.int64)
+    return far, met
 
 
 def passage_distance(item: np.ndarray, region: np.ndarray) -> int:
@@ -88,80 +108,163 @@ def passage_distance(item: np.ndarray, region: np.ndarray) -> int:
     return int(row.min())
 
 
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of rows of symbols."""
+    out = np.full(len(columns[0]), len(columns), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out = (out ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+class Width:
+    """The items of one length: their runs of words, and their keys in the LSH tables."""
+
+    def __init__(self, width: int, edits: int, items: np.ndarray, symbols: np.ndarray):
+        self.width, self.edits, self.items = width, edits, items
+        self.q = next(q for q in (3, 2, 1) if width - q + 1 - q * edits >= 1)
+        self.need = width - self.q + 1 - self.q * edits
+        self.sampled = sampled_steps(width)
+        steps = np.unique(self.sampled)
+        held = []
+        for k in range(0, len(items), rows := max(1, BLOCK // len(steps))):
+            own = symbols[k:k + rows]
+            row, keys = self.table_keys(steps, *walk(own.reshape(-1), np.arange(len(own)) * width, steps))
+            held.append((items[k + row], keys))
+        found, keys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.found = keys[order], found[order]
+
+    def table_keys(self, steps: np.ndarray, far: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and hashes of the keys in all tables; keys that lie beyond the sequence are left out."""
+        walks = np.arange(WALKS)
+        pair = []
+        for which in (0, 1):
+            at = np.searchsorted(steps, self.sampled[:, which])
+            pair.append(np.where(far[at, :, walks] < self.width, met[at, :, walks], -1))  # shape (WALKS, rows)
+        table, row = np.nonzero((pair[0] != -1) | (pair[1] != -1))
+        return row, _hash([table, pair[0][table, row], pair[1][table, row]])
+
+    def candidates(self, starts: np.ndarray, steps: np.ndarray, far: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and window starts that share a key in some table."""
+        row, keys = self.table_keys(steps, far, met)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return self.found[at], np.repeat(starts[row], n)
+
+
 class Items:
-    """The items of one pass, with their triples and walk keys."""
+    """The items of one pass."""
 
-    def __init__(self, rows: list[tuple[object, str | None]], edits: float):
+    def __init__(self, rows: list[tuple[object, str | None]], edits: float, min_words: int = 1):
         self.numbers: dict[str, int] = {}
-        self.ids, self.symbols, self.edits, self.triples = [], [], [], defaultdict(list)
+        self.ids, self.symbols = [], []
         for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] or "")):
             words = words_of(text)
-            if len(words) < MIN_WORDS:
-                continue
-            for place, triple in enumerate(zip(words, words[1:], words[2:])):
-                self.triples[triple].append((len(self.ids), place))
-            self.ids.append(item_id)
-            self.symbols.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words]))
-            self.edits.append(int(edits * len(words)))
-        self.found = frozenset(self.triples)
-        self.keys: dict[int, np.ndarray] = {}
+            if len(words) >= max(1, min_words):
+                self.ids.append(item_id)
+                self.symbols.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
+        by_width = defaultdict(list)
+        for k, own in enumerate(self.symbols):
+            by_width[len(own)].append(k)
+        self.widths = [Width(w, int(edits * w), np.array(k), np.stack([self.symbols[i] for i in k])) for w, k in sorted(by_width.items())]
+        self.edits = [int(edits * len(own)) for own in self.symbols]
+        # all runs of q words that the items of some length are looked for by
+        self.runs = {}
+        self.longest = {w.q: w.width + w.edits for w in self.widths}
+        for q in {w.q for w in self.widths}:
+            own = [self.symbols[i] for w in self.widths if w.q == q for i in w.items]
+            self.runs[q] = np.unique(np.concatenate([_hash([s[k:len(s) - q + 1 + k] for k in range(q)]) for s in own]))
 
     def search(self, text: str | None) -> list[tuple[object, int, int]]:
         """(item id, edits, first word) of all items in a text."""
         words = words_of(text)
-        if len(words) < 3 or self.found.isdisjoint(zip(words, words[1:], words[2:])):
+        if not words or not self.ids:
+            return []
+        symbols = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        before = {}  # how many runs of the items start before each word
+        for q, runs in self.runs.items():
+            n = max(0, len(words) - q + 1)
+            there = np.flatnonzero(np.logical_and.reduce([symbols[k:n + k] >= 0 for k in range(q)])) if n else np.zeros(0, np.int64)
+            codes = _hash([symbols[there + k] for k in range(q)]) if len(there) else np.zeros(0, np.uint64)
+            hit = np.zeros(len(words) + 1, np.int64)
+            if len(there):
+                at = np.minimum(np.searchsorted(runs, codes), len(runs) - 1)
+                hit[there[runs[at] == codes] + 1] = 1
+            if hit.any():
+                before[q] = np.cumsum(hit)
+        if not before:
             return []
-        hits = defaultdict(list)
-        for place, triple in enumerate(zip(words, words[1:], words[2:])):
-            if triple in self.found:
-                for item, own in self.triples[triple]:
-                    hits[item].append((place, place - own))
-        symbols, out = None, []
-        for item, found in hits.items():
-            own, t = self.symbols[item], self.edits[item]
-            width, need = len(own), len(own) - 2 - 3 * t
-            if len(found) < need:
-                continue
-            places, starts = np.array(found).T
-            starts = np.unique(starts[:, None] + np.arange(-t, t + 1))
-            starts = starts[(starts > -width) & (starts < len(words))]
-            enough = np.searchsorted(places, starts + width + t) - np.searchsorted(places, starts - t) >= need
-            starts = starts[enough]
-            if not len(starts):
-                continue
-            if symbols is None:  # words that no item has get numbers of their own
-                symbols = np.array([self.numbers.get(w, -2 - k) for k, w in enumerate(words)])
-            around = np.concatenate((np.full(width, -1), symbols, np.full(width, -1)))
-            windows = around[starts[:, None] + width + np.arange(width)]
-            if item not in self.keys:
-                self.keys[item] = walk_keys(own[None, :])[0]
-            agree = (walk_keys(windows) == self.keys[item]).all(axis=2).any(axis=1)
-            best = None
-            for group in np.split(starts[agree], np.flatnonzero(np.diff(starts[agree]) > 2 * t + 1) + 1):
-                if len(group):
-                    low, high = max(0, int(group[0]) - t), int(group[-1]) + width + t
-                    edits = passage_distance(own, symbols[low:high])
-                    if edits <= t and (best is None or edits < best[1]):
-                        best = (self.ids[item], edits, max(0, int(group[len(group) // 2])))
-            if best:
-                out.append(best)
+        unknown = symbols < 0
+        symbols[unknown] = -2 - np.flatnonzero(unknown)  # words that no item has equal no other
+        asked = []  # the lengths whose items may be here, and where
+        starts = np.arange(len(words))
+        # no window of the longest items has more runs than this
+        most = {q: int((count[np.minimum(starts + self.longest[q] + 1, len(words))] - count[starts]).max()) for q, count in before.items()}
+        for own in self.widths:
+            if own.q in before and most[own.q] >= own.need:
+                count, starts = before[own.q], np.arange(len(words))
+                inside = count[np.minimum(starts + own.width + own.edits - own.q + 1, len(words))] - count[starts]
+                if len(starts := starts[inside >= own.need]):
+                    asked.append((own, starts))
+        if not asked:
+            return []
+        steps = np.unique(np.concatenate([own.sampled.reshape(-1) for own, _ in asked]))
+        every = np.unique(np.concatenate([starts for _, starts in asked]))
+        pairs = defaultdict(list)
+        for k in range(0, len(every), rows := max(1, BLOCK // len(steps))):
+            some = every[k:k + rows]
+            far, met = walk(symbols, some, steps)
+            for own, starts in asked:
+                mine = np.flatnonzero(np.isin(some, starts, assume_unique=True))
+                if len(mine):
+                    pairs[own.width].append(own.candidates(some[mine], steps, far[:, mine], met[:, mine]))
+        out = []
+        for own, _ in asked:
+            found = pairs[own.width]
+            out += self.confirm(symbols, own.width, own.edits, np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found]))
         return out
 
-
-def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    def confirm(self, symbols: np.ndarray, w: int, t: int, items: np.ndarray, starts: np.ndarray) -> Iterator[tuple[object, int, int]]:
+        """Of candidates those with a passage within ``t`` edits: the best of each item."""
+        order = np.lexsort((starts, items))
+        items, starts = items[order], starts[order]
+        cuts = np.flatnonzero((items[1:] != items[:-1]) | (starts[1:] - starts[:-1] > 2 * t + 1)) + 1
+        best: dict[int, tuple[int, int]] = {}
+        for group in np.split(np.arange(len(items)), cuts):
+            if len(group):
+                item, first, last = int(items[group[0]]), int(starts[group[0]]), int(starts[group[-1]])
+                low = max(0, first - t)
+                edits = passage_distance(self.symbols[item], symbols[low:last + w + 2 * t])
+                if edits <= t and (item not in best or edits < best[item][0]):
+                    places = np.unique(starts[group])
+                    around = places[:, None] + np.arange(w)
+                    differ = (symbols[np.minimum(around, len(symbols) - 1)] != self.symbols[item]) | (around >= len(symbols))
+                    best[item] = (edits, int(places[np.argmin(differ.sum(axis=1))]))
+        return [(self.ids[item], *found) for item, found in sorted(best.items())]
+
+
+def _passes(items: DataFrame, key: list[str], text: str) -> list[DataFrame]:
+    """The items in parts of bounded size, by a hash."""
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).first()
+    n = max(1, -(-size["n"] // PASS_ITEMS), -(-(size["chars"] or 0) // PASS_CHARS))
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k) for k in range(n)]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 1) -> DataFrame:
     """Occurrences of items in documents: ``id_col, item_col, edits, at_word``."""
     id_type, item_type = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"{id_col} string, {item_col} string, edits int, at_word int"
     items = benchmark.select(F.col(item_col).cast("string"), item_text_col)
-    passes = max(1, -(-items.count() // PASS_ITEMS))
     rows = docs.select(F.col(id_col).cast("string").alias(id_col), text_col)
     found = []
-    for k in range(passes):
-        own = items if passes == 1 else items.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(passes)) == k)
+    for own in _passes(items, [item_col, item_text_col], item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.distinct().collect()])
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            searched = Items(shared.value, edits)
+            searched = Items(shared.value, edits, min_words)
             for batch in batches:
                 hits = [(key, *hit) for key, text in zip(batch[id_col].tolist(), batch[text_col].tolist()) for hit in searched.search(text)]
                 yield pd.DataFrame(hits, columns=[id_col, item_col, "edits", "at_word"])
@@ -171,25 +274,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: s
     return out.withColumns({id_col: F.col(id_col).cast(id_type), item_col: F.col(item_col).cast(item_type)})
 
 
-def _clean(shared, edits: float):
+def _clean(shared, edits: float, min_words: int):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(shared.value, edits)
+        items = Items(shared.value, edits, min_words)
         for texts in batches:
             yield pd.Series([not items.search(t) for t in texts], dtype=bool)
 
     return clean
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text_col: str = "text", min_words: int = 1) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     items = benchmark.select(F.lit("0").alias("item_id"), "text")
-    passes = max(1, -(-items.count() // PASS_ITEMS))
-    for k in range(passes):
-        own = items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+    for own in _passes(items, ["text"], "text"):
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.distinct().collect()])
-
-        docs = docs.where(_clean(shared, edits)(F.col(text_col)))
+        docs = docs.where(_clean(shared, edits, min_words)(F.col(text_col)))
     return docs
 
 

@@ -301,9 +301,46 @@ def test_leaks_survive_edits_and_clean_texts_do_not_match(duck):
     assert sum(bool(search.search(" ".join(r.choices(vocabulary, k=300)))) for _ in range(50)) == 0
 
 
-def test_leaks_of_verbatim_passages(spark, sf_dir, duck):
-    want = duck.execute("SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall()
-    assert {r.doc_id for r in registry.queries()["op5_benchmark_leaks"](spark, sf_dir).collect()} >= {r[0] for r in want}
+@pytest.mark.parametrize("passes", [20_000, 7])
+def test_leaks_equal_exact_search(spark, sf_dir, duck, monkeypatch, passes):
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", passes)
+    items = [(i, decontaminate.words_of(t)) for i, t in duck.execute("SELECT item_id, text FROM benchmark").fetchall()]
+    numbers, want = {}, {}
+    for doc, text in duck.execute("SELECT doc_id, text FROM documents").fetchall():
+        words_ = np.array([numbers.setdefault(w, len(numbers)) for w in decontaminate.words_of(text)])
+        for item, own in items:
+            edits = decontaminate.passage_distance(np.array([numbers.setdefault(w, len(numbers)) for w in own]), words_)
+            if edits <= int(decontaminate.EDITS * len(own)):
+                want[doc, item] = edits
+    got = {(r.doc_id, r.item_id): r.edits for r in registry.queries()["op5_benchmark_leaks"](spark, sf_dir).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.97 * len(want)
+    verbatim = duck.execute("SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall()
+    assert {r[0] for r in verbatim} <= {d for d, _ in got}
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 5, 8, 12, 40, 300])
+def test_leaks_of_items_of_any_length(width):
+    r = random.Random(width)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = [(str(k), " ".join(r.choices(vocabulary, k=width))) for k in range(30)]
+    search, t, found, n = decontaminate.Items(items, decontaminate.EDITS), int(decontaminate.EDITS * width), 0, 0
+    for item, text in items:
+        for edits in sorted({0, t // 2, t}):
+            own = text.split()
+            for _ in range(edits):
+                k = r.randrange(len(own))
+                own[k:k + 1] = r.choice(([], [r.choice(vocabulary)], [own[k], r.choice(vocabulary)]))
+            hits = [h for h in search.search(" ".join(["aa"] * 20 + own + ["bb"] * 20)) if h[0] == item]
+            assert edits or hits == [(item, 0, 20)]
+            found, n = found + bool(hits), n + 1
+    assert found >= 0.95 * n
+
+
+def test_leaks_in_scripts_without_blanks():
+    search = decontaminate.Items([("1", "以下哪个城市是法国的首都和最大的城市"), ("2", "ประเทศไทยมีเมืองหลวงชื่อว่าอะไร")], decontaminate.EDITS)
+    assert [h[:2] for h in search.search("他问：以下哪个城市是法国的首都和最大的城市？")] == [("1", 0)]
+    assert [h[0] for h in search.search("他问以下哪座城市是法国的首都或最大的城市吗")] == ["1"] and [h[0] for h in search.search("ถามว่าประเทศไทยมีเมืองหลวงชื่อว่าอะไรครับ")] == ["2"]
+    assert search.search("一个完全不同的句子没有任何关系") == []
 
 
 def test_extraction_of_unseen_layouts():

@@ -70,7 +70,7 @@ def test_lines_of_awkward_texts(awkward, nothing):
 
 
 def test_leaks_in_awkward_texts(spark, awkward, nothing):
-    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, None), (3, "too short"), (None, "la casa y el perro que no come nada por la noche")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, None), (3, "too short"), (4, ""), (None, "la casa y el perro que no come nada por la noche")], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(awkward, bench).collect()}
     assert got == {(1, 1, 0), (2, 1, 0), (8, 1, 0), (None, None, 0)}
     assert decontaminate.clean_documents(awkward, bench).count() == awkward.count() - 5
