@@ -136,6 +136,17 @@ class Width:
         order = np.argsort(keys, kind="stable")
         self.keys, self.found = keys[order], found[order]
 
+    def near(self, there: np.ndarray) -> np.ndarray:
+        """Starts of windows that hold enough of the runs which stand at some (ascending) places."""
+        first, last = there[:len(there) - self.need + 1], there[self.need - 1:]
+        span = self.width + self.edits - self.q + 1
+        close = last - first < span
+        if not close.any():
+            return there[:0]
+        low, high = np.maximum(last[close] - span + 1, 0), first[close] + 1
+        n = high - low
+        return np.unique(np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
     def table_keys(self, steps: np.ndarray, far: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and hashes of the keys in all tables; keys that lie beyond the sequence are left out."""
         walks = np.arange(WALKS)
@@ -171,12 +182,18 @@ class Items:
             by_width[len(own)].append(k)
         self.widths = [Width(w, int(edits * w), np.array(k), np.stack([self.symbols[i] for i in k])) for w, k in sorted(by_width.items())]
         self.edits = [int(edits * len(own)) for own in self.symbols]
-        # all runs of q words that the items of some length are looked for by
+        # the runs of q words of all items of a length, with the number of that length
         self.runs = {}
-        self.longest = {w.q: w.width + w.edits for w in self.widths}
         for q in {w.q for w in self.widths}:
-            own = [self.symbols[i] for w in self.widths if w.q == q for i in w.items]
-            self.runs[q] = np.unique(np.concatenate([_hash([s[k:len(s) - q + 1 + k] for k in range(q)]) for s in own]))
+            codes, of = [], []
+            for number, w in enumerate(self.widths):
+                if w.q == q:
+                    own = np.unique(np.concatenate([_hash([self.symbols[i][k:w.width - q + 1 + k] for k in range(q)]) for i in w.items]))
+                    codes.append(own)
+                    of.append(np.full(len(own), number))
+            codes, of = np.concatenate(codes), np.concatenate(of)
+            order = np.argsort(codes, kind="stable")
+            self.runs[q] = codes[order], of[order]
 
     def search(self, text: str | None) -> list[tuple[object, int, int]]:
         """(item id, edits, first word) of all items in a text."""
@@ -184,33 +201,33 @@ class Items:
         if not words or not self.ids:
             return []
         symbols = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
-        before = {}  # how many runs of the items start before each word
-        for q, runs in self.runs.items():
-            n = max(0, len(words) - q + 1)
-            there = np.flatnonzero(np.logical_and.reduce([symbols[k:n + k] >= 0 for k in range(q)])) if n else np.zeros(0, np.int64)
-            codes = _hash([symbols[there + k] for k in range(q)]) if len(there) else np.zeros(0, np.uint64)
-            hit = np.zeros(len(words) + 1, np.int64)
-            if len(there):
-                at = np.minimum(np.searchsorted(runs, codes), len(runs) - 1)
-                hit[there[runs[at] == codes] + 1] = 1
-            if hit.any():
-                before[q] = np.cumsum(hit)
-        if not before:
-            return []
-        unknown = symbols < 0
-        symbols[unknown] = -2 - np.flatnonzero(unknown)  # words that no item has equal no other
         asked = []  # the lengths whose items may be here, and where
-        starts = np.arange(len(words))
-        # no window of the longest items has more runs than this
-        most = {q: int((count[np.minimum(starts + self.longest[q] + 1, len(words))] - count[starts]).max()) for q, count in before.items()}
-        for own in self.widths:
-            if own.q in before and most[own.q] >= own.need:
-                count, starts = before[own.q], np.arange(len(words))
-                inside = count[np.minimum(starts + own.width + own.edits - own.q + 1, len(words))] - count[starts]
-                if len(starts := starts[inside >= own.need]):
+        for q, (runs, of) in self.runs.items():
+            n = len(words) - q + 1
+            there = np.flatnonzero(symbols >= 0)
+            there = there[there < n]
+            for k in range(1, q):
+                there = there[symbols[there + k] >= 0]
+            if not len(there):
+                continue
+            codes = _hash([symbols[there + k] for k in range(q)])
+            low = np.searchsorted(runs, codes, "left")
+            high = np.searchsorted(runs, codes, "right")
+            n = high - low
+            if not n.any():
+                continue
+            width = of[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            order = np.argsort(width, kind="stable")
+            width, there = width[order], np.repeat(there, n)[order]
+            cuts = np.flatnonzero(width[1:] != width[:-1]) + 1
+            for first, last in zip(np.append(0, cuts).tolist(), np.append(cuts, len(width)).tolist()):
+                own = self.widths[width[first]]
+                if last - first >= own.need and len(starts := own.near(there[first:last])):
                     asked.append((own, starts))
         if not asked:
             return []
+        unknown = np.flatnonzero(symbols < 0)
+        symbols[unknown] = -2 - unknown  # words that no item has equal no other
         steps = np.unique(np.concatenate([own.sampled.reshape(-1) for own, _ in asked]))
         every = np.unique(np.concatenate([starts for _, starts in asked]))
         pairs = defaultdict(list)
@@ -236,8 +253,9 @@ class Items:
         for group in np.split(np.arange(len(items)), cuts):
             if len(group):
                 item, first, last = int(items[group[0]]), int(starts[group[0]]), int(starts[group[-1]])
-                low = max(0, first - t)
-                edits = passage_distance(self.symbols[item], symbols[low:last + w + 2 * t])
+                region = symbols[max(0, first - t):last + w + 2 * t]
+                # each word of the item that is not there costs an edit
+                edits = passage_distance(self.symbols[item], region) if np.count_nonzero(np.isin(self.symbols[item], region)) >= w - t else t + 1
                 if edits <= t and (item not in best or edits < best[item][0]):
                     places = np.unique(starts[group])
                     around = places[:, None] + np.arange(w)
