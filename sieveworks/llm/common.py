@@ -40,6 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("table-"):
+            files.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    jvm.System.gc()  # lets the driver's cleaner drop the shuffles that wrote it
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     taken = {c.lower() for c in df.columns}

@@ -4,8 +4,12 @@ Index. Equal vectors are one node. Vectors of unequal length get one more
 coordinate that makes all norms equal, which turns inner products into angles.
 The graph starts with the best neighbours inside small random blocks. In every
 round each node brings its neighbours and those that have it as a neighbour
-together (two joins), compares them with each other, and offers each the best
-it met; nodes keep the best ``DEGREE``. Rounds end when few lists change.
+together (joins), compares them with each other, and offers each the best it
+met; nodes keep the best ``DEGREE``. Of those that have a very popular node as a
+neighbour a sample of ``MEMBERS``, drawn anew in each round, is taken before
+anything is moved to it; that sampling is part of NN-descent and concerns the
+index only: every vector is indexed. Rounds end when few lists change. The same
+rounds run at every size.
 
 Search. Queries are rows of the same table, so a search starts at its own node
 and at the best of a random sample of nodes, which lead into and along large groups
@@ -13,14 +17,16 @@ of near copies, and expands, round by round, the nearest nodes not yet expanded;
 their neighbour lists. The ``BEAM`` nearest nodes are kept. The nearest ``EXACT``
 are then scored in double precision on the original vectors.
 
+How wide the search must be depends on the data and grows with the index. So it
+measures itself: ``MEASURED`` queries, chosen by hash, are also answered by brute
+force over all nodes (a fixed number of products per node), and the beam is
+doubled and rounds go on until they reach ``RECALL``, or nothing is left to expand.
+
 Both hold single-precision coordinates and compute in double precision. The
 added coordinate is not stored: distances take it from the norms, so that one
 long vector does not round the others away. Nodes whose score is within
 the rounding error of the last one asked for are kept and rescored however many. Per task the rows are bounded: nodes and queries are dealt by hash
-to partitions of fixed size. A node that very many others have as a neighbour
-receives many messages, of which it holds ``MEMBERS`` at a time; that sampling is
-part of NN-descent and concerns the index only: every vector is indexed, and
-recall is measured against brute force in the tests.
+to partitions of fixed size.
 
 Defined results: vectors that are null, zero, of another size than most, or
 hold null or non-finite components take no part; equal scores go to the smaller
@@ -32,6 +38,7 @@ table gives no rows, and with fewer candidates than asked all are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -40,17 +47,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, dropped, stored, table
 
 DEGREE = 32
 MEMBERS = 64
 #: Nodes of a random starting block, and starting blocks of each node.
-START_BLOCK, STARTS = 1024, 2
-ROUNDS, SETTLED = 8, 0.06
+START_BLOCK, STARTS = 256, 2
+ROUNDS, SETTLED = 12, 0.04
+#: Nodes whose best are a search's first.
+SAMPLE = 1024
 #: Nodes, and queries, of a partition.
 NODES_PER_PART, QUERIES_PER_PART = 4096, 256
-BEAM, EXPANDED, SEARCH_ROUNDS = 384, 40, 6
+BEAM, EXPANDED, SEARCH_ROUNDS = 384, 40, 4
 EXACT = 64
+#: Queries that are measured by brute force, and the recall they must reach.
+MEASURED, RECALL = 64, 0.95
 
 
 #: Bound of the error that rounding both vectors' coordinates puts into a product, as a share of both norms.
@@ -204,19 +215,12 @@ def _merged(graph: DataFrame, offers: DataFrame, parts: int) -> DataFrame:
 def _offers(graph: DataFrame, parts: int, number: int) -> DataFrame:
     """Neighbours of neighbours: what each node is offered by the nodes it meets."""
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                owner, found, near = _flat(batch["node"].to_numpy(), batch["ids"].tolist(), batch["near"].tolist())
-                packed = dict(zip(batch["node"], batch["packed"]))
-                least = {v: float(np.frombuffer(x, np.float32)[-1]) if len(x) == 4 * DEGREE else -np.inf for v, x in zip(batch["node"], batch["near"])}
-                yield pd.DataFrame({"centre": found, "member": owner, "packed": [packed[v] for v in owner], "least": np.array([least[v] for v in owner], np.float32)})
-
-    # those that have the centre as a neighbour send themselves; the centre's own neighbours are joined in
-    back = graph.select("node", "packed", "ids", "near").mapInPandas(edges, "centre long, member long, packed binary, least float")
-    own = graph.select(F.col("node").alias("member"), "packed", "ids", "near").mapInPandas(_with_least, "member long, packed binary, least float")
-    ahead = back.select(F.col("member").alias("centre"), F.col("centre").alias("member")).join(own, "member")
-    met = back.unionByName(ahead.select("centre", "member", "packed", "least"))
+    # those that have the centre as a neighbour, at most MEMBERS of them, and the centre's own neighbours
+    ahead = graph.select("node", "ids", "near").mapInPandas(_exploded, "node long, found long, near float").select(F.col("node").alias("centre"), F.col("found").alias("member"))
+    drawn = F.row_number().over(W.partitionBy("centre").orderBy(F.xxhash64("centre", "member", F.lit(number))))
+    back = ahead.select(F.col("member").alias("centre"), F.col("centre").alias("member")).withColumn("r", drawn).where(F.col("r") <= MEMBERS).drop("r")
+    own = graph.select(F.col("node").alias("member"), "packed", "near").mapInPandas(_with_least, "member long, packed binary, least float")
+    met = ahead.unionByName(back).join(own, "member").select("centre", "member", "packed", "least")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _whole(batches)
@@ -254,14 +258,14 @@ def _with_least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"member": batch["member"], "packed": batch["packed"], "least": np.array(least, np.float32)})
 
 
-def build_graph(nodes: DataFrame) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int) -> DataFrame:
     """The neighbour graph: ``node, packed, ids, near``."""
-    n = nodes.count()
     parts = max(1, -(-n // NODES_PER_PART))
     empty = F.lit(None).cast("binary")
-    graph = checkpointed(_merged(nodes.select("node", "packed", empty.alias("ids"), empty.alias("near")), _start(nodes, n, parts), parts))
-    for number in range(ROUNDS if n > START_BLOCK else 0):
-        graph = checkpointed(_merged(graph, _offers(graph, parts, number), parts))
+    graph = stored(_merged(nodes.select("node", "packed", empty.alias("ids"), empty.alias("near")), _start(nodes, n, parts), parts))
+    for number in range(ROUNDS):
+        before, graph = graph, stored(_merged(graph, _offers(graph, parts, number), parts))
+        dropped(before)
         if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * DEGREE * n:
             break
     return graph
@@ -288,11 +292,48 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"query": batch["query"], "found": [np.asarray(v, np.int64).tobytes() for v in batch["found"]], "score": scores})
 
 
-def greedy_search(graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def brute_force(graph: DataFrame, queries: DataFrame, k: int) -> dict[int, list[int]]:
+    """The ``k`` nearest nodes of ``MEASURED`` queries, chosen by hash, by products with all nodes."""
+    some = queries.select("query", "asked").orderBy(F.xxhash64("query"), "query").limit(MEASURED).collect()
+    shared = queries.sparkSession.sparkContext.broadcast(([r.query for r in some], [bytes(r.asked) for r in some]))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, best_ = shared.value, None
+        for batch in batches:
+            if len(batch) and asked[0]:
+                score = coordinates(asked[1]).astype(np.float64) @ coordinates(batch["packed"].tolist()).astype(np.float64).T
+                ids = np.broadcast_to(batch["node"].to_numpy(), score.shape)
+                if best_ is not None:
+                    score, ids = np.concatenate((best_[0], score), axis=1), np.concatenate((best_[1], ids), axis=1)
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best_ = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
+        if best_ is not None:
+            yield pd.DataFrame({"query": np.repeat(np.array(asked[0], np.int64), best_[0].shape[1]), "node": best_[1].reshape(-1), "score": best_[0].reshape(-1)})
+
+    found = graph.select("node", "packed").mapInPandas(products, "query long, node long, score double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
+    out: dict[int, list[int]] = {}
+    for r in found.withColumn("r", rank).where(F.col("r") <= k).select("query", "node").collect():
+        out.setdefault(r.query, []).append(r.node)
+    return out
+
+
+def measured_recall(state: DataFrame, truth: dict[int, list[int]], k: int) -> float:
+    """The share of the measured queries' nearest nodes that a search holds among its ``k`` nearest, or as near."""
+    hits = total = 0
+    for r in state.where(F.col("query").isin(list(truth))).select("query", "ids", "near").collect():
+        near = np.frombuffer(r.near, np.float64).reshape(-1, 2)
+        held = np.frombuffer(r.ids, np.int64)[:within_rounding(near, k)]
+        hits, total = hits + len(np.intersect1d(held, truth[r.query])), total + len(truth[r.query])
+    return hits / total if total else 1.0
+
+
+def greedy_search(graph: DataFrame, queries: DataFrame, k: int, n: int) -> DataFrame:
     """The nodes nearest to each query: ``query, ids, near`` (bytes, nearest first; scores with their error).
 
     ``queries`` has ``query`` (the node a search starts at) and ``asked``.
     """
+    truth = brute_force(graph, queries, min(n, k + 1))
     parts = max(1, -(-queries.count() // QUERIES_PER_PART))
     # lists of neighbours and of the nearest that have the node as one, with vectors; else a node that is in no list is never found
     flat = graph.select("node", "ids", "near").mapInPandas(_exploded, "node long, found long, near float")
@@ -304,9 +345,9 @@ def greedy_search(graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     lists = met.join(own, "found").groupBy("node").agg(F.collect_set(F.struct("found", "theirs")).alias("list"))
     lists = lists.select("node", F.col("list.found").alias("found"), F.col("list.theirs").alias("theirs"))
     # dealt by node once: the rounds' joins then move the search fronts only
-    lists = lists.repartition(max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-graph.count() // NODES_PER_PART)), "node").persist(StorageLevel.DISK_ONLY)
+    lists = lists.repartition(max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // NODES_PER_PART)), "node").persist(StorageLevel.DISK_ONLY)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(batches: Iterator[pd.DataFrame], beam: int, expanded: int) -> Iterator[pd.DataFrame]:
         rows = _whole(batches)
         if rows is None:
             return
@@ -325,16 +366,16 @@ def greedy_search(graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 if len(found):
                     ids, near, done = np.concatenate((ids, found)), np.concatenate((near, scored[first])), np.concatenate((done, np.zeros(len(found), bool)))
                     order = np.argsort(-near[:, 0], kind="stable")
-                    order = order[:max(BEAM, within_rounding(near[order], k))]
+                    order = order[:max(beam, within_rounding(near[order], k))]
                     ids, near, done = ids[order], near[order], done[order].copy()
-            at = np.flatnonzero(~done)[:EXPANDED]
+            at = np.flatnonzero(~done)[:expanded]
             done = done.copy()
             done[at] = True
             out.append((state.query, state.asked, ids.tobytes(), near.tobytes(), done.tobytes(), ids[at].tolist()))
         yield pd.DataFrame(out, columns=["query", "asked", "ids", "near", "expanded", "front"])
 
     # the first lists fetched are those of the query's own node and of the best of the sample
-    sample = graph.select("node", "packed").orderBy(F.xxhash64("node"), "node").limit(START_BLOCK).collect()
+    sample = graph.select("node", "packed").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     sampled = queries.sparkSession.sparkContext.broadcast((np.array([v.node for v in sample], np.int64), [bytes(v.packed) for v in sample]))
 
     def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,12 +392,20 @@ def greedy_search(graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["query", "asked", "ids", "near", "expanded", "front"])
 
     state = queries.select("query", "asked").mapInPandas(begun, STATE)
-    for _ in range(SEARCH_ROUNDS):
+    beam, expanded, rounds = BEAM, EXPANDED, 0
+    while True:
         # the query's vector goes to the lists: scores are moved, not the vectors of all that is met
         front = state.select("query", "asked", F.explode("front").alias("node")).join(lists, "node").select("query", "asked", "found", "theirs")
         front = front.mapInPandas(_scored, "query long, found binary, score binary")
         rows = state.drop("front").unionByName(front, allowMissingColumns=True)
-        state = checkpointed(rows.repartition(parts, "query").mapInPandas(step, STATE))
+        before, state = state, stored(rows.repartition(parts, "query").mapInPandas(partial(step, beam=beam, expanded=expanded), STATE))
+        if rounds:
+            dropped(before)
+        rounds += 1
+        if rounds >= SEARCH_ROUNDS and (measured_recall(state, truth, k) >= RECALL or state.where(F.size("front") > 0).isEmpty()):
+            break
+        if rounds >= SEARCH_ROUNDS and rounds % 2 == 0:
+            beam, expanded = min(2 * beam, n), min(2 * expanded, n)
     lists.unpersist()
     return state.select("query", "ids", "near")
 
@@ -374,10 +423,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     """
     rows = checkpointed(usable(vectors, id_col, vector_col))
     nodes = checkpointed(nodes_of(rows))
-    graph = build_graph(nodes)
+    n = nodes.count()
+    graph = build_graph(nodes, n)
     asking = rows.where(is_query).select("id", "node")
     queries = asking.select(F.col("node").alias("query")).distinct().join(nodes.select(F.col("node").alias("query"), "asked"), "query")
-    found = greedy_search(graph, queries, k)
+    found = greedy_search(graph, queries, k, n)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

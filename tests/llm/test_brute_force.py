@@ -433,10 +433,13 @@ def test_neighbour_recall(spark, sf_dir, duck):
     assert hits >= 0.9 * total
 
 
-def test_the_graph_improves_by_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("size, hub", [(1500, False), (4000, True)])
+def test_the_graph_improves_by_rounds(spark, monkeypatch, size, hub):
     r = np.random.default_rng(4)
-    x = r.normal(size=(1500, 16))
-    monkeypatch.setattr(neighbours, "START_BLOCK", 200)
+    x = r.normal(size=(size, 16))
+    if hub:  # many nodes have the same neighbours
+        x += 2 * (np.arange(size) % 50 == 0)[:, None]
+        monkeypatch.setattr(neighbours, "MEMBERS", 24)
     df = spark.createDataFrame([(int(k), [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
     for row in neighbours.search(df, F.col("id") % 20 == 0).collect():
