@@ -183,8 +183,18 @@ def pairs_of(ends: bytes, tokens: bytes, hashes: np.ndarray) -> tuple[np.ndarray
 SENT = "bucket int, chunk string, keys binary, counts binary"
 
 
+def slices(chunk: str, keys: np.ndarray, buckets: int, counts: np.ndarray | None = None) -> pd.DataFrame:
+    """A chunk's ascending keys cut by bucket, without empty slices: never more rows than keys, however many buckets there are."""
+    at = np.concatenate(([0], bucket_cuts(keys, buckets), [len(keys)]))
+    full = np.flatnonzero(np.diff(at))
+    out = {"bucket": full, "chunk": chunk, "keys": [packed(keys[at[b]:at[b + 1]]) for b in full]}
+    if counts is not None:
+        out["counts"] = [packed(counts[at[b]:at[b + 1]]) for b in full]
+    return pd.DataFrame(out)
+
+
 def bucketed(chunked: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """Training counts of every chunk's words or pairs, one row per chunk and bucket of keys."""
+    """Training counts of every chunk's words or pairs, one row per chunk and bucket of keys that it has."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,11 +208,7 @@ def bucketed(chunked: DataFrame, kind: str, buckets: int) -> DataFrame:
                     counts[np.searchsorted(hashes, START)] += int(trains_.sum())
                 else:
                     keys, counts = np.unique(keys[train], return_counts=True)
-                cuts = bucket_cuts(keys, buckets)
-                yield pd.DataFrame({
-                    "bucket": range(buckets), "chunk": chunk, "keys": [packed(k) for k in np.split(keys, cuts)],
-                    "counts": [packed(c) for c in np.split(counts.astype(np.uint32), cuts)],
-                })
+                yield slices(chunk, keys, buckets, counts.astype(np.uint32))
 
     return chunked.select("chunk", "trains", "ends", "tokens", "words").mapInPandas(send, SENT)
 
@@ -302,7 +308,7 @@ def asked_levels(chunked: DataFrame, shards: DataFrame, buckets: int) -> DataFra
         for batch in batches:
             for chunk, ends, tokens, words in zip(batch["chunk"], batch["ends"], batch["tokens"], batch["words"]):
                 keys = np.unique(pairs_of(ends, tokens, unpacked(words, np.uint64))[0])
-                yield pd.DataFrame({"bucket": range(buckets), "chunk": chunk, "keys": [packed(k) for k in np.split(keys, bucket_cuts(keys, buckets))]})
+                yield slices(chunk, keys, buckets)
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         shard = Shard(np.frombuffer(own["bits"].iloc[0], np.uint64)) if len(own) else None
