@@ -31,7 +31,8 @@ TREES, DEPTH, SEED = 20, 6, 91
 _RUN = "[A-Za-z0-9+/_=-]"
 #: Any text with a candidate matches this: a digit has eight of the run's characters on one side.
 _MAY = rf"[0-9]{_RUN}{{8}}|{_RUN}{{8}}[0-9]"
-_CANDIDATE = rf"(?=[A-Za-z+/_=-]*[0-9]){_RUN}{{16,}}"
+#: Tried only where a run starts, and without going back: a run is looked at once.
+_CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_=-]*+[0-9]){_RUN}{{16,}}+"
 _INLINE = r"^([A-Za-z_-]{2,24})=([^=].*)$"
 # Words beside secrets, beside other codes, and inside names.
 SECRET_WORDS = "password passwd pwd pass secret token apikey key auth credential credentials bearer private access signing"
