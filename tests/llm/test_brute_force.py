@@ -211,6 +211,93 @@ def test_base_scores_and_both_transports(spark, sf_dir, duck, monkeypatch):
     assert {r.doc_id: r.score for r in query(spark, sf_dir).collect()} == {i: r.score for i, r in rows.items()}
 
 
+@pytest.mark.parametrize("entries", [2_000_000, 300])
+def test_scores_equal_an_exact_pair_model(spark, sf_dir, duck, monkeypatch, entries):
+    monkeypatch.setattr(lm_score, "BUCKET_ENTRIES", entries)
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 3_000_000 if entries > 1000 else 2_000)
+    tokens = {i: [*words(t), None] for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    single, pairs, texts = Counter(), Counter(), 0
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            single.update(t)
+            pairs.update(zip(["start", *map(repr, t[:-1])], t))
+            texts += 1
+    n, v = sum(single.values()), len(single)
+    excess = total = 0
+    for r in registry.queries()["op8_lm_score"](spark, sf_dir).collect():
+        want, t = 0.0, tokens[r.doc_id]
+        for before, word in zip(["start", *map(repr, t[:-1])], t):
+            context = texts if before == "start" else single[eval(before)]
+            base = (single[word] + 0.1) / (n + 0.1 * (v + 1))
+            count = pairs[before, word]
+            low = 2 ** math.floor(math.log2(count)) if count else 0  # the filter holds powers of two
+            want += math.log10(lm_score.MIX * min(1, low / context) + (1 - lm_score.MIX) * base) if context else math.log10(base)
+        # a filter can only take a pair for more frequent than it is, and rarely does
+        assert r.score >= want - 1e-6 * len(t)
+        excess, total = excess + r.score - want, total + len(t)
+    assert excess <= 0.03 * total
+
+
+def test_language_predictions_equal_bundled_vectors(spark, sf_dir, duck):
+    rows = duck.execute("SELECT doc_id, text, lang FROM documents").fetchall()
+    bundle = {}
+    for i, text, _ in rows:
+        if (grams := language_id.gram_counts(text)) is not None:
+            bundle[i] = grams[1].astype(float) @ language_id.gram_vectors(grams[0]).astype(float)
+    names = sorted({lang for _, _, lang in rows if lang})
+    learn = {i: lang for i, _, lang in rows if lang and zlib.crc32(str(i).encode()) % 5 and i in bundle}
+    prototypes = np.stack([sum(bundle[i] for i, lang in learn.items() if lang == name) for name in names])
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    for r in registry.queries()["op6_language_id"](spark, sf_dir).collect():
+        if r.doc_id not in bundle:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = np.maximum(prototypes @ bundle[r.doc_id], 0)
+        assert r.lang_pred == names[int(np.argmax(cosines))] and r.score == pytest.approx(cosines.max() / cosines.sum(), rel=1e-3)
+
+
+def test_ties_between_languages_go_to_the_first_name(spark):
+    df = spark.createDataFrame([(1, "uno dos tres", "b"), (2, "uno dos tres", "a"), (3, "uno dos", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.predict(df, language_id.fit(df)).collect()} == {"a"}
+
+
+def test_secret_scores_equal_the_forest_itself(spark, sf_dir):
+    trees = secret_scan.default_trees(spark)
+
+    def predict(tree, row):
+        lines = [x.strip() for x in tree.splitlines()[1:] if x.strip()]
+        at = 0
+
+        def node():
+            nonlocal at
+            line = lines[at]
+            at += 1
+            if line.startswith("Predict"):
+                return float(line.split(":")[1])
+            _, number, sign, bound = re.match(r"(If|Else) \(feature (\d+) (<=|>) (\S+)\)", line).groups()
+            low = node()
+            at += 1
+            high = node()
+            return low if row[secret_scan.FEATURES[int(number)]] <= float(bound) else high
+
+        return node()
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = secret_scan.described(secret_scan.candidates(docs)).select("doc_id", "at", "value", *secret_scan.FEATURES).collect()
+    want = Counter((r.doc_id, r.at, r.value, round(sum(predict(t, r) for t in trees) / len(trees), 9)) for r in rows)
+    assert rows and Counter((r.doc_id, r.at, r.secret, round(r.score, 9)) for r in secret_scan.scan(docs, trees).collect()) == want
+
+
+def test_long_runs_are_scanned_in_proportion(spark):
+    import time
+
+    trees = secret_scan.default_trees(spark)
+    texts = ["a" * 400_000, "a-" * 200_000 + " x", "1" * 400_000, "aaaaaaaaaaaaaaaaa " * 20_000, "9" + "b" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    assert secret_scan.scan(df, trees).count() == 2 and time.perf_counter() - began < 30
+
+
 def test_filter_levels_are_never_too_low():
     r = np.random.default_rng(1)
     keys, counts = np.unique(r.integers(0, 1 << 62, 20_000).astype(np.uint64)), None

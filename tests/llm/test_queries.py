@@ -106,6 +106,12 @@ def test_urls_of_awkward_pages(spark):
     assert got[7] == ("h", "", None, "allow") and got[8][3] == "block" and got[9][:2] == ("u:p@host:80", "/es/")
 
 
+def test_no_pages_and_no_list(spark):
+    pages = spark.createDataFrame([(1, "x://spam-farm.example.org/fr/12/")], "page_id long, url string")
+    assert url_filter.judge_urls(pages.where("page_id > 1"), url_filter.listed_urls(spark)).count() == 0
+    assert [r.verdict for r in url_filter.judge_urls(pages, url_filter.listed_urls(spark).limit(0)).collect()] == ["allow"]
+
+
 def test_urls_without_broadcast_are_judged_alike(spark, sf_dir, monkeypatch):
     want = sorted(map(str, url_filter.op9_url_filter(spark, sf_dir).collect()))
     monkeypatch.setattr(url_filter, "BROADCAST_URLS", 0)
