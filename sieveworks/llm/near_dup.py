@@ -53,8 +53,8 @@ COORDINATES = ROWS * BANDS
 TILE, TILE_BYTES = 2000, 64 << 20
 #: Signatures of a band value that are compared with each other in one task.
 BAND_TILE = 4096
-#: Shingles that are permuted at once.
-BLOCK = 1 << 15
+#: Shingles that are permuted at once, and rows whose sets a worker holds.
+BLOCK, ROWS_AT_ONCE = 1 << 15, 512
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -79,6 +79,13 @@ class Words(dict):
         return value
 
 
+def parts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of at most ``ROWS_AT_ONCE`` rows, so that a worker holds few sets and signatures at a time."""
+    for batch in batches:
+        for k in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.iloc[k:k + ROWS_AT_ONCE]
+
+
 def shingle_set(text: str | None, size: int, words: Words) -> np.ndarray:
     """Ascending 64-bit hashes of a text's distinct shingles."""
     own = ascii_words(text)
@@ -146,7 +153,7 @@ def described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
         import xxhash
 
         words = Words()
-        for batch in batches:
+        for batch in parts_of(batches):
             sets = [shingle_set(t, size, words) for t in batch[text_col].tolist()]
             full = [k for k, s in enumerate(sets) if len(s)]
             keys, marks = [None] * len(sets), [None] * len(sets)
@@ -175,7 +182,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     least_ = least_equal(percent)
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts_of(batches):
             if len(batch):
                 signature = np.frombuffer(b"".join(batch["signature"]), np.uint32).reshape(-1, COORDINATES)
                 brief = [r.tobytes() for r in (signature & 0xFF).astype(np.uint8)]
@@ -289,7 +296,7 @@ def confirmed(docs: DataFrame, blocks: DataFrame, size: int, percent: int, id_co
         import xxhash
 
         words = Words()
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             for key, text in zip(batch["key"].tolist(), batch["text"].tolist()):
                 own = shingle_set(text, size, words)
