@@ -361,18 +361,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                     level = read_levels(shards_, pair_buckets, distinct)
                 else:
                     level = np.concatenate([unpacked(x["levels"], np.uint8) for x in levels_]).astype(np.int64)
-                low = lowest(level)[inverse]
-                base = (counts + 0.1) / (n + 0.1 * (v + 1))
+                # a chunk's tokens are many: arrays go as soon as they are used
+                full = lowest(level)[inverse]
+                del keys, distinct, inverse, level
                 context = counts[before]
-                seen = np.divide(low, context, out=np.zeros(len(low)), where=context > 0)
-                mix = np.where(context > 0, MIX, 0.0)
-                full = np.log10(mix * np.minimum(seen, 1.0) + (1 - mix) * base[flat])
+                known = context > 0
+                np.divide(full, context, out=full, where=known)
+                full[~known] = 0
+                del before, context
+                np.minimum(full, 1.0, out=full)
+                full *= MIX
+                base = ((counts + 0.1) / (n + 0.1 * (v + 1)))[flat]
+                full += np.where(known, 1 - MIX, 1.0) * base
+                np.log10(full, out=full)
+                np.log10(base, out=base)
                 starts = np.concatenate(([0], ends_[:-1]))
-                yield pd.DataFrame({
-                    id_col: list(ids), "n_tokens": ends_ - starts,
-                    "n_known": np.add.reduceat((counts[flat] > 0).astype(np.int64), starts), "train_tokens": n,
-                    "base_score": np.add.reduceat(np.log10(base)[flat], starts), "score": np.add.reduceat(full, starts),
-                })
+                out = {
+                    id_col: list(ids), "n_tokens": ends_ - starts, "n_known": np.add.reduceat((counts[flat] > 0).astype(np.int64), starts), "train_tokens": n,
+                    "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(full, starts),
+                }
+                del flat, full, base, known
+                yield pd.DataFrame(out)
 
     out = rows.mapInPandas(judge, f"{id_col} string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn(id_col, F.col(id_col).cast(dict(docs.dtypes)[id_col]))
