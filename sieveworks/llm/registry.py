@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, secret_scan, url_filter
+from . import chat_format, decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, secret_scan, url_filter
 
-MODULES = (html_extract, packing, line_dedup, neighbours, decontaminate, language_id, lm_score, secret_scan, url_filter, near_dup)
+MODULES = (html_extract, packing, line_dedup, neighbours, decontaminate, language_id, lm_score, secret_scan, url_filter, near_dup, chat_format)
 
 
 def queries() -> dict:
