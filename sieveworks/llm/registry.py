@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, secret_scan, url_filter
+from . import chat_format, decontaminate, hard_negatives, html_extract, language_id, line_dedup, lm_score, near_dup, neighbours, packing, secret_scan, spelling, url_filter
 
-MODULES = (html_extract, packing, line_dedup, neighbours, decontaminate, language_id, lm_score, secret_scan, url_filter, near_dup, chat_format)
+MODULES = (html_extract, packing, line_dedup, neighbours, decontaminate, language_id, lm_score, secret_scan, url_filter, near_dup, chat_format, hard_negatives, spelling)
 
 
 def queries() -> dict:

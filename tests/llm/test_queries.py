@@ -11,7 +11,7 @@ def test_same_as_sql(name, same_as_sql):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_language_of_awkward_texts(awkward, nothing):
