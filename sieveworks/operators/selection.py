@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from ..functions import keys, programs
 
-#: Runs of passages that are broadcast (a passage and two numbers each), else joined by a shuffle.
+#: Keys of passages that are broadcast (two numbers each, 800 kB in all), else joined by a shuffle.
 BROADCAST_RUNS = 50_000
+#: Characters by which passages of one or two words are looked up.
+TINY = 16
 
 
 def drop_leaks(rows: DataFrame, held_out: DataFrame, columns: Sequence[str], key: str = "key") -> DataFrame:
@@ -30,32 +32,35 @@ def drop_leaks(rows: DataFrame, held_out: DataFrame, columns: Sequence[str], key
 
 
 def containing(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str, passage_col: str, width: int = 5) -> DataFrame:
-    """Ids of texts that contain a passage, by an equi-join on hashed word runs, not all pairs.
+    """Ids of texts that contain a passage, by an equi-join on hashed runs, not all pairs.
 
     The words of a passage other than its first and last stand in the text
-    exactly, so the run of up to ``width`` words from the second on does. Runs
-    are looked up by hash and hits confirmed on the text. Only passages of one
-    or two words are compared with every text directly.
+    exactly, so the run of up to ``width`` words from the second on does. A
+    passage of one or two words has no inner word, but its first ``TINY``
+    characters stand in the text. Runs are looked up by 64-bit hashes, of which each text sends a
+    distinct one once, and hits are confirmed on the text. Each length of a run costs a pass over the
+    text, and there are at most ``width + TINY`` of them.
     """
     own = passages.select(F.col(passage_col).alias("passage")).where(F.length("passage") > 0).distinct().withColumn("w", F.split("passage", r"\s+"))
-    own = own.withColumn("size", F.least(F.size("w") - 2, F.lit(width)))
-    run_hash = lambda words, start, size: F.xxhash64(F.array_join(F.slice(words, start, size), " "))
-    runs = own.where("size >= 1").select("passage", "size", run_hash(F.col("w"), F.lit(2), F.col("size")).alias("run"))
-    sizes = [r[0] for r in runs.select("size").distinct().collect()]  # at most ``width`` numbers
-    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs
-    worded = docs.select(id_col, text_col, F.split(text_col, r"\s+").alias("w"))
-    none = F.array().cast("array<struct<size:int,run:bigint>>")
+    inner, chars = F.least(F.size("w") - 2, F.lit(width)), F.least(F.length("passage"), F.lit(TINY))
+    own = own.withColumn("size", F.when(inner >= 1, inner).otherwise(-chars))  # below 0: characters
+    text_of = F.when(F.col("size") >= 1, F.array_join(F.slice("w", 2, F.greatest(F.col("size"), F.lit(1))), " ")).otherwise(F.substring(F.col("passage"), F.lit(1), -F.col("size")))
+    runs = own.select("passage", F.xxhash64("passage").alias("pid"), "size", F.xxhash64("size", text_of).alias("run"))
+    sizes = [r[0] for r in runs.select("size").distinct().collect()]  # at most width + TINY numbers
 
     def grams_of(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("w") - size + 1)
-        return F.when(F.size("w") >= size, F.array_distinct(F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), run_hash(F.col("w"), i, F.lit(size)).alias("run"))))).otherwise(none)
-
-    grams = [grams_of(size) for size in sizes]
-    near = worded.select(id_col, F.inline(F.concat(*grams) if grams else none)).join(runs, ["size", "run"]).select(id_col, "passage").distinct()
-    hit = near.join(docs.select(id_col, text_col), id_col).where(F.contains(text_col, "passage")).select(id_col)
-    # one or two words have no inner word: they may start or end inside any word
-    tiny = docs.join(F.broadcast(own.where("size < 1").select("passage")), F.contains(docs[text_col], F.col("passage"))).select(id_col)
-    return hit.unionByName(tiny).distinct()
+        units, glue, n = ("w", " ", size) if size > 0 else ("c", "", -size)
+        starts = F.sequence(F.lit(1), F.size(units) - n + 1)
+        grams = F.transform(starts, lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(units, i, F.lit(n)), glue)))
+        return F.when(F.size(units) >= n, grams).otherwise(F.array().cast("array<bigint>"))
+
+    # a hash set of longs; of structs it would compare all with all
+    grams = F.array_distinct(F.concat(*(grams_of(size) for size in sizes))) if sizes else F.array().cast("array<bigint>")
+    cut = docs.select(id_col, F.split(text_col, r"\s+").alias("w"), (F.split(text_col, "") if any(size < 0 for size in sizes) else F.array()).alias("c"))
+    keys_ = runs.select("run", "pid")
+    near = cut.select(id_col, F.explode(grams).alias("run")).join(F.broadcast(keys_) if keys_.count() <= BROADCAST_RUNS else keys_, "run").select(id_col, "pid").distinct()
+    hit = near.join(runs.select("pid", "passage"), "pid").join(docs.select(id_col, text_col), id_col)
+    return hit.where(F.contains(text_col, "passage")).select(id_col).distinct()
 
 
 def first_seen(rows: DataFrame, key: Column, order: Sequence[Column | str]) -> DataFrame:

@@ -114,7 +114,9 @@ def control_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "edit").otherwise("de_novo").alias("mode"), F.translate("p_name", " ", "_").alias("name"))
     plan = F.when(F.col("p_partkey") % 3 == 0, "BUILD").otherwise("MODIFY")
-    text = F.concat(F.lit(' {"plan":"'), plan, F.lit('","smiles":"'), F.col("name"), F.when(F.col("p_partkey") % 7 == 0, ' x"}').otherwise('"}\n'))
+    key = F.col("p_partkey")
+    middle = F.when(key % 7 == 0, " x").when(key % 5 == 0, "/C=C\\F").when(key % 11 == 0, '"').when(key % 13 == 0, "\n").when(key % 17 == 0, "\r").otherwise("")
+    text = F.concat(F.lit(' {"plan":"'), plan, F.lit('","smiles":"'), F.col("name"), middle, F.when(key % 19 == 0, '"}x').otherwise('"}\n'))
     return p.select("p_partkey", programs.parse_response(text, F.col("mode")).alias("r"), programs.response(F.col("name"), F.col("mode")).alias("answer")).select("p_partkey", "r.*", "answer")
 
 
@@ -296,8 +298,10 @@ k AS (SELECT *, array_to_string(parts, '+') IN ('HBA:decrease+LogP:increase', 'H
 SELECT p_partkey, CASE WHEN registered THEN array_to_string(parts, '+') ELSE own END AS label, registered, sha256(js) AS hash FROM k""",
     "control_programs": "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n, 'MW:around=' || regexp_replace(regexp_replace(printf('%.6f', round(p_retailprice / 3, 6)), '0+$', ''), '[.]$', '.0') || CASE WHEN p_size % 2 = 0 THEN '+QED:increase' ELSE '' END AS label FROM part",
     "strict_response_parse": """
-WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'MODIFY' ELSE 'BUILD' END AS want, CASE WHEN p_partkey % 3 = 0 THEN 'BUILD' ELSE 'MODIFY' END AS plan, p_partkey % 7 <> 0 AS whole, replace(p_name, ' ', '_') AS name FROM part)
-SELECT p_partkey, whole AND plan = want AS strict_parse, whole AND plan = want AS valid, whole AND plan = want AS canonical, CASE WHEN whole AND plan = want THEN name ELSE '' END AS smiles, '{"plan":"' || want || '","smiles":"' || name || '"}' AS answer FROM p""",
+WITH k AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN ' x' WHEN p_partkey % 5 = 0 THEN '/C=C\\F' WHEN p_partkey % 11 = 0 THEN '"' WHEN p_partkey % 13 = 0 THEN chr(10) WHEN p_partkey % 17 = 0 THEN chr(13) ELSE '' END AS middle FROM part),
+p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'MODIFY' ELSE 'BUILD' END AS want, CASE WHEN p_partkey % 3 = 0 THEN 'BUILD' ELSE 'MODIFY' END AS plan,
+             middle NOT IN ('"', chr(10)) AND p_partkey % 19 <> 0 AS whole, replace(p_name, ' ', '_') AS name, replace(p_name, ' ', '_') || middle AS written FROM k)
+SELECT p_partkey, whole AND plan = want AS strict_parse, whole AND plan = want AS valid, whole AND plan = want AS canonical, CASE WHEN whole AND plan = want THEN written ELSE '' END AS smiles, '{"plan":"' || want || '","smiles":"' || name || '"}' AS answer FROM p""",
     "last_tag_extract": "SELECT page_id, md5(trim(CASE WHEN len(m) > 0 THEN m[len(m)] ELSE string_split(html, chr(10))[1] END)) AS last_md5 FROM (SELECT page_id, html, regexp_extract_all(html, '(?is)<p>\\s*(.*?)\\s*</p>', 1) AS m FROM pages)",
     "clause_texts": f"SELECT p_partkey, ['raise size', 'raise size and lower price', 'raise size, lower price and keep brand'][p_size % 3 + 1] AS clauses, {_lst(TEMPLATES)}[p_size % 3 + 1] AS instruction, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS number, 'a=b' AS value FROM part",
     "message_contract_check": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) = 'user,assistant' AND bool_and(length(trim(text)) > 0) AS is_pair, conv_id % 3 <> 0 AND arg_min(role, turn) <> 'assistant' AS blind, count(*) AS turns FROM conversations GROUP BY conv_id",

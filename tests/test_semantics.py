@@ -246,6 +246,23 @@ def test_containing_passages_of_all_lengths(spark):
     assert sorted(r.id for r in found.collect()) == [k for k, t in enumerate(texts) if any(p in t for p in passages)]
 
 
+def test_containing_in_very_long_texts(spark):
+    long = " ".join(f"w{k * 7919 % 99_991}" for k in range(100_000))
+    inner = " ".join(long.split()[90_000:90_009])[1:-1]
+    docs = spark.createDataFrame([(0, long), (1, "w" * 300_000), (2, "short text")], "id long, text string")
+    passages = [inner, "w7 w7", "ort te", "x" * 40, long[-30:]]
+    began = __import__("time").time()
+    found = selection.containing(docs, spark.createDataFrame([(p,) for p in passages], "p string"), "id", "text", "p").collect()
+    assert sorted(r.id for r in found) == [0, 2] and __import__("time").time() - began < 60
+
+
+def test_answers_may_hold_anything_but_quotes_and_line_feeds(spark):
+    texts = ['{"plan":"BUILD","smiles":"F/C=C\\F"}', '{"plan":"BUILD","smiles":"CC x"}', '{"plan":"MODIFY","smiles":"C"}', '{"plan":"BUILD","smiles":"C"C"}', '{"plan":"BUILD","smiles":"C\nC"}', '\n{"plan":"BUILD","smiles":"C"} ', '{"plan":"BUILD","smiles":""}', '{"plan": "BUILD","smiles":"C"}']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.p for r in df.select("k", programs.parse_response(F.col("t"), F.lit("de_novo")).alias("p")).collect()}
+    assert [got[k].strict_parse for k in range(8)] == [True, True, False, False, False, True, False, False] and got[0].smiles == "F/C=C\\F"
+
+
 def test_registered_labels_are_as_known(spark):
     from sieveworks.functions import programs
 
