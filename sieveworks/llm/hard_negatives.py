@@ -184,6 +184,22 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(pack, PACKED)
 
 
+def _merged(rows: Iterable) -> Iterator[Block]:
+    """Blocks of at most ``WAVE`` rows from such blocks, small neighbours of one vector size as one."""
+    held: list = []
+    for row in rows:
+        if held and (row["dim"] != held[0]["dim"] or row["n"] + sum(r["n"] for r in held) > WAVE):
+            yield _joined(held)
+            held = []
+        held.append(row)
+    if held:
+        yield _joined(held)
+
+
+def _joined(rows: list) -> Block:
+    return Block.of({"dim": rows[0]["dim"], "top": max(r["top"] for r in rows), **{c: b"".join(r[c] for r in rows) for c in ("ids", "labels", "vectors")}})
+
+
 def best_in(buckets: DataFrame, anchors: Block, owner: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool) -> DataFrame:
     """The best ``k`` rows of each window over all buckets: ``window, id, score, rank``."""
     spark = buckets.sparkSession
@@ -218,8 +234,7 @@ def mine(
     waves = stored(packed(rows.where(is_anchor), WAVE))
     path = f"{shared_folder(spark).rstrip('/')}/mined-{uuid.uuid4().hex}"
     done = 0
-    for row in waves.toLocalIterator():
-        anchors = Block.of(row)
+    for anchors in _merged(waves.toLocalIterator()):
         every = np.arange(len(anchors.ids))
         # at most WAVE times ``positives`` rows
         near = best_in(buckets, anchors, every, np.full(len(every), LEAST), np.full(len(every), MOST), positives, same=True).toPandas()
