@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, programs, records, selection
+from . import evaluation, programs, records, selection, storage
 
 FLAGSHIP = "balanced_clean_selection"
-MODULES = (selection, evaluation, programs, records)
+MODULES = (selection, evaluation, programs, records, storage)
 
 
 def queries() -> dict:

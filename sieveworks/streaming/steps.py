@@ -87,6 +87,12 @@ class Files:
 Rule = Callable[[Mapping], bool]
 
 
+def routability(column: str, nodes: Sequence[str]) -> dict[str, Column]:
+    """Metrics of a preflight: rows of each node that a layout routes, and rows that none does."""
+    own = F.col(column)
+    return {f"rows_{n}": F.count(F.when(own == n, 1)) for n in nodes} | {"unroutable": F.count(F.when(own.isNull() | ~own.isin(*nodes), 1))}
+
+
 def counted_write(rows: DataFrame, path: str, metrics: Mapping[str, Column] | None = None, partition_by: Sequence[str] = ()) -> dict:
     """Writes Parquet and returns ``rows`` and the metrics, all from the one pass.
 
