@@ -61,8 +61,3 @@ def identity(columns: Sequence[str], policy: str = "presence") -> Column:
 def fixed_number(value: Column, digits: int = 6) -> Column:
     """A number's own text for hashing: fixed digits, the same in every engine."""
     return F.format_string(f"%.{digits}f", value.cast("double"))
-
-
-def tree_digest(names_and_hashes: Column) -> Column:
-    """Digest of a folder from its files' ``name:hash`` texts, whatever their order."""
-    return sha(F.array_join(F.array_sort(names_and_hashes), "\n"))

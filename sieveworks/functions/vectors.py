@@ -44,6 +44,34 @@ def folded_slot(feature: Column, width: int = 2048) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(feature.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width))
 
 
+def bitmap(slots: Column, width: int = 2048) -> Column:
+    """Slots as a packed bitmap, ``width / 64`` longs; null slots give null, those outside the width are an error.
+
+    One pass over the sorted slots: a word is put down once its last bit is set.
+    """
+    words = -(-width // 64)
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("bits"))
+
+    def merge(state: Column, slot: Column) -> Column:
+        inside = F.when((slot >= 0) & (slot < width), slot).otherwise(F.raise_error(F.lit("a slot is outside the bitmap")).cast("long"))
+        word = F.floor(inside / 64)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (inside % 64).cast("int"))
+        more = F.struct(state["done"].alias("done"), state["at"].alias("at"), state["bits"].bitwiseOR(bit).alias("bits"))
+        new = F.struct(F.concat(state["done"], F.array(state["bits"]), zeros(word - state["at"] - 1)).alias("done"), word.alias("at"), bit.alias("bits"))
+        return F.when(word == state["at"], more).otherwise(new)
+
+    finish = lambda state: F.concat(state["done"], F.array(state["bits"]), zeros(F.lit(words) - state["at"] - 1))
+    return F.aggregate(F.array_sort(F.array_distinct(slots.cast("array<bigint>"))), start, merge, finish)
+
+
+def bitmap_similarity(a: Column, b: Column) -> Column:
+    """Common share of two bitmaps' bits by counting them; 0 if a bitmap is missing or both are empty."""
+    bits = lambda f: F.aggregate(F.zip_with(a, b, f), F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
+    both, either = bits(lambda x, y: x.bitwiseAND(y)), bits(lambda x, y: x.bitwiseOR(y))
+    return F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
+
+
 def folded_counts(rows: DataFrame, by: list[str], feature: str, width: int = 2048) -> DataFrame:
     """Folded count fingerprints in long form: ``by, slot, n``, the counts of all features that fall in a slot."""
     return rows.groupBy(*by, folded_slot(F.col(feature), width).alias("slot")).agg(F.count("*").alias("n"))

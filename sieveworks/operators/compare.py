@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .selection import bucket_place
 
 SLACK = 1e-12
 
@@ -50,31 +49,6 @@ def macro_delta(pairs: DataFrame, bucket: str, left: str, right: str) -> DataFra
     return by.agg(F.count("*").alias("buckets"), F.sum("n").alias("rows"), F.avg("d").alias("delta"))
 
 
-def bootstrap(pairs: DataFrame, bucket: str, order: Sequence[str], deltas: Sequence[str], replicates: int = 2000, seed: int = 37101, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Paired bootstrap stratified by bucket: ``metric, delta, ci_low, ci_high``.
-
-    Each replicate draws as many pairs of a bucket as it has, with replacement;
-    draw s of replicate r is pair ``hash(seed, r, bucket, s) mod n``. All
-    metrics use the same draws. Draws meet the pairs by an equi-join on
-    (bucket, place) and are added up per replicate and bucket at once, so only
-    replicates times buckets rows go on. ``deltas`` are columns of differences.
-    """
-    sizes = pairs.groupBy(bucket).agg(F.count("*").alias("_n"))
-    placed = bucket_place(pairs.select(bucket, *dict.fromkeys([*order, *deltas])), bucket, order, "_nth").withColumnRenamed("_nth", "_place")
-    numbered = placed.select(bucket, *deltas, "_place").join(sizes, bucket)
-    draws = numbered.select(bucket, F.col("_place").alias("_slot"), "_n").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    material = F.concat_ws(":", F.lit(str(seed)), F.col("_r").cast("string"), F.col(bucket).cast("string"), F.col("_slot").cast("string"))
-    number = F.conv(F.substring(F.sha2(material, 256), 1, 15), 16, 10).cast("long")
-    draws = draws.select(bucket, "_r", (number % F.col("_n")).alias("_place"))
-    draws = draws.groupBy(bucket, "_r", "_place").agg(F.count("*").alias("_times"))
-    means = draws.join(numbered, [bucket, "_place"]).groupBy("_r", bucket).agg(*(F.try_divide(F.sum(F.col(d) * F.col("_times")), F.sum("_times")).alias(d) for d in deltas))
-    replicate = means.groupBy("_r").agg(*(F.avg(d).alias(d) for d in deltas))
-    point = pairs.groupBy(bucket).agg(*(F.avg(d).alias(d) for d in deltas)).agg(*(F.avg(d).alias(d) for d in deltas))
-    long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(d).alias("metric"), F.col(d).alias("v")) for d in deltas))).alias("m")).select("m.*")
-    ci = long(replicate).groupBy("metric").agg(F.percentile("v", F.lit(low)).alias("ci_low"), F.percentile("v", F.lit(high)).alias("ci_high"))
-    return long(point).withColumnRenamed("v", "delta").join(ci, "metric").select("metric", "delta", "ci_low", "ci_high")
-
-
 def all_of(checks: Sequence[Column]) -> Column:
     """Whether every check holds; null counts as no."""
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks])

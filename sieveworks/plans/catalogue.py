@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, programs, records, selection, storage
+from . import artifacts, evaluation, programs, records, selection, storage
 
 FLAGSHIP = "balanced_clean_selection"
-MODULES = (selection, evaluation, programs, records, storage)
+MODULES = (selection, evaluation, programs, records, storage, artifacts)
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, evaluation, integrity
+from ..operators import compare, evaluation, integrity, resample
 from ..operators.selection import global_place
 from ..streaming import logs
 from .selection import documents, table
@@ -114,7 +114,7 @@ def paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     pairs = c.select(F.col("c_mktsegment").alias("bucket"), "c_custkey", ((F.col("c_acctbal") > 5000).cast("double") - (F.col("c_nationkey") < 12).cast("double")).alias("balance"), ((F.col("c_custkey") % 5 == 0).cast("double") - 0.1).alias("fifth"))
-    return rounded(compare.bootstrap(pairs, "bucket", ["c_custkey"], ["balance", "fifth"], 100))
+    return rounded(resample.bootstrap(pairs, "bucket", ["c_custkey"], ["balance", "fifth"], 2000))
 
 
 def segment_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +243,8 @@ _SEG = "(SELECT c_mktsegment AS arm, " + ", ".join(f"avg(CAST(c_nationkey % {m}
 _EPS = "1e-12::DOUBLE"
 _ge = lambda c, b, s=True: f"{c} >= {b}::DOUBLE" + (f" - {_EPS}" if s else "")
 
+#: The bootstrap's mix of a 32-bit number x0, as columns x1 to x3.
+_MIX = "(xor(x0, x0 >> 16) * 2146121005) & 4294967295 AS x1, (xor(x1, x1 >> 15) * 2221713035) & 4294967295 AS x2, xor(x2, x2 >> 16) AS x3"
 SQL = {
     "bucket_rates": f"SELECT lang, {_RATES}, round(avg(n_chars), 9) AS mean_n_chars FROM {_IN} GROUP BY lang",
     "pooled_vs_macro": f"""
@@ -269,10 +271,12 @@ SELECT v.user_id, event_id, round(adv, 6) AS advantage, coalesce(active_channels
     "group_statistics": "SELECT user_id, count(*) AS size, round(avg(value), 9) AS mean_reward, round(stddev_pop(value), 9) AS reward_std, round(avg(CAST(value > 100 AS DOUBLE)), 9) AS strict_fraction FROM events GROUP BY user_id",
     "paired_macro_delta": "SELECT count(*) AS buckets, CAST(sum(n) AS BIGINT) AS rows, round(avg(d), 9) AS delta FROM (SELECT o_orderpriority, count(*) AS n, avg(CAST(o_orderkey % 3 = 0 OR o_orderkey % 7 = 1 AS DOUBLE) - CAST(o_orderkey % 3 = 0 AS DOUBLE)) AS d FROM orders GROUP BY o_orderpriority)",
     "paired_arms": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS left_bucket, CAST(o_orderkey % 3 = 0 AS DOUBLE) AS left_hit, o_orderpriority AS right_bucket, CAST(o_orderkey % 3 = 0 OR o_orderkey % 7 = 1 AS DOUBLE) AS right_hit FROM orders",
-    "paired_bootstrap_ci": """
+    "paired_bootstrap_ci": f"""
 WITH p AS (SELECT c_mktsegment AS bucket, CAST(c_acctbal > 5000 AS DOUBLE) - CAST(c_nationkey < 12 AS DOUBLE) AS balance, CAST(c_custkey % 5 = 0 AS DOUBLE) - 0.1::DOUBLE AS fifth,
-row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS place, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
-d AS (SELECT bucket, r, CAST(('0x' || substr(sha256('37101:' || r || ':' || bucket || ':' || place), 1, 15))::UBIGINT % n AS BIGINT) AS place FROM p, (SELECT range AS r FROM range(100))),
+row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS place, count(*) OVER (PARTITION BY c_mktsegment) AS n, ('0x' || substr(md5(c_mktsegment || ':0'), 1, 8))::UBIGINT AS h FROM customer),
+r AS (SELECT r, x3 AS seeded FROM (SELECT range AS r, xor(37101::UBIGINT, range::UBIGINT) AS x0, {_MIX} FROM range(2000))),
+b AS (SELECT r, bucket, n, x3 AS start FROM (SELECT r, bucket, n, xor(seeded, h) AS x0, {_MIX} FROM r, (SELECT DISTINCT bucket, n, h FROM p))),
+d AS (SELECT bucket, r, (x3 % n)::BIGINT AS place FROM (SELECT b.bucket, b.r, b.n, xor(b.start, p.place::UBIGINT) AS x0, {_MIX} FROM b JOIN p ON p.bucket = b.bucket)),
 m AS (SELECT r, bucket, avg(balance) AS balance, avg(fifth) AS fifth FROM d JOIN p USING (bucket, place) GROUP BY r, bucket), q AS (SELECT r, avg(balance) AS balance, avg(fifth) AS fifth FROM m GROUP BY r),
 o AS (SELECT avg(balance) AS balance, avg(fifth) AS fifth FROM (SELECT avg(balance) AS balance, avg(fifth) AS fifth FROM p GROUP BY bucket))
 SELECT 'balance' AS metric, round((SELECT balance FROM o), 9) AS delta, round(quantile_cont(balance, 0.025), 9) AS ci_low, round(quantile_cont(balance, 0.975), 9) AS ci_high FROM q

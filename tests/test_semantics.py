@@ -143,10 +143,6 @@ def test_a_dash_names_no_direction(spark):
     assert one(spark, programs.direction_of(F.lit("-")), programs.direction_of(F.lit("↓")), programs.property_of(F.lit("GSK3β")))[:] == ("", "decrease", "GSK3B")
 
 
-def test_compatibility_forms_fold(spark):
-    assert spark.createDataFrame([("ＭＷ",)], "s string").select(programs.property_of(programs.nfkc(F.col("s")))).first()[0] == "MW"
-
-
 def test_responses_must_match_to_the_letter(spark):
     parse = lambda text, mode: one(spark, programs.parse_response(F.lit(text), F.lit(mode)).alias("r")).r
     assert parse('{"plan":"BUILD","smiles":"CC"}\n', "de_novo").valid
