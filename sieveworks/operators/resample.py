@@ -95,8 +95,8 @@ def bootstrap(pairs: DataFrame, bucket: str, order: Sequence[str], deltas: Seque
     """
     names = list(dict.fromkeys(deltas))
     placed = bucket_place(pairs.select(bucket, *dict.fromkeys([*order, *names])), bucket, order, "_nth").withColumnRenamed("_nth", "_place")
-    sizes = pairs.groupBy(bucket).agg(F.count("*").alias("_n"))  # one row per bucket
-    rows = placed.join(sizes, placed[bucket].eqNullSafe(sizes[bucket])).drop(sizes[bucket])
+    sizes = pairs.groupBy(F.col(bucket).alias("_of")).agg(F.count("*").alias("_n"))  # one row per bucket
+    rows = placed.join(sizes, F.col(bucket).eqNullSafe(F.col("_of")))
     rows = rows.withColumn("_block", F.floor(F.col("_place") / BLOCK).cast("long"))
     hash_of = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
     name = F.coalesce(F.col(bucket).cast("string"), F.lit(""))

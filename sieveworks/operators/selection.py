@@ -198,9 +198,9 @@ def global_place(rows: DataFrame, order: Sequence[Column | str], place_col: str
 def bucket_place(rows: DataFrame, bucket: str, order: Sequence[Column | str], place_col: str = "place") -> DataFrame:
     """Adds the row's place (from 0) inside its bucket, however many rows a bucket has."""
     placed = global_place(rows, [F.col(bucket), *order], "_place")
-    starts = placed.groupBy(bucket).agg(F.min("_place").alias("_start"))  # one row per bucket
-    out = placed.join(starts, placed[bucket].eqNullSafe(starts[bucket])).drop(starts[bucket])
-    return out.withColumn(place_col, F.col("_place") - F.col("_start")).drop("_place", "_start")
+    starts = placed.groupBy(F.col(bucket).alias("_of")).agg(F.min("_place").alias("_start"))  # one row per bucket
+    out = placed.join(starts, F.col(bucket).eqNullSafe(F.col("_of")))
+    return out.withColumn(place_col, F.col("_place") - F.col("_start")).drop("_place", "_start", "_of")
 
 
 def outcome_counts(rows: DataFrame, outcome: Column, by: Sequence[str] = ()) -> DataFrame:
