@@ -123,6 +123,37 @@ def spectral_layout(signatures: DataFrame, rank: int = 16, common: int = 8, floo
     return layout, signatures.sparkSession.createDataFrame(out, "node string, rank_index int, weight double")
 
 
+def rank_list_ok(ranks: Column, rank: int | Column) -> Column:
+    """Whether a list of ranks is not empty, repeats none and stays in range."""
+    inside = F.forall(ranks, lambda r: r.isNotNull() & (r >= 0) & (r < rank))
+    return F.coalesce((F.size(ranks) > 0) & (F.size(F.array_distinct(ranks)) == F.size(ranks)) & inside, F.lit(False))
+
+
+def node_signatures(rows: DataFrame, node: str, vector: str) -> DataFrame:
+    """Each node's probe: the mean of its rows' vectors, ``node, signature``; pre-aggregated before the shuffle.
+
+    Null nodes, vectors and components are left out; a node's vectors must be of one size.
+    """
+    parts = rows.where(F.col(node).isNotNull()).select(F.col(node).cast("string").alias("node"), F.posexplode(vector).alias("pos", "x"))
+    means = parts.groupBy("node", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("pos", "x")))  # one number a position
+    return means.groupBy("node").agg(F.transform(sorted_, lambda s: s["x"]).alias("signature"))
+
+
+def load_layout(spark, path: str) -> dict:
+    """A layout from a JSON document in any file system Spark reaches, checked; the document is one small file."""
+    import json
+
+    found = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"no single layout at {path}")
+    layout = json.loads(found[0][0])
+    if not isinstance(layout, dict):
+        raise ValueError("a layout is an object")
+    check_layout(layout)
+    return layout
+
+
 def check_layout(layout: dict) -> None:
     """Raises if ranks repeat or lie outside, or weights, floor or scaling are out of range."""
     rank = int(layout.get("rank", 0))

@@ -91,10 +91,10 @@ def transfer_aware_gate(d: dict[str, Column], parity: Column) -> Column:
     }, {"parity": parity})
 
 
-def residual_gate(d: dict[str, Column], inactive_same: Column, inactive: Column, active_same: Column, active: Column, frozen_drift: Column) -> Column:
-    """Conditional residual: a gain on edit-only tasks, identical raw outputs elsewhere (370 and 250 of them), frozen weights untouched."""
+def residual_gate(d: dict[str, Column], inactive_same: Column, inactive: Column, active_same: Column, active: Column, frozen_drift: Column, expected: tuple[Column | int, Column | int] = (370, 250)) -> Column:
+    """Conditional residual: a gain on edit-only tasks, identical raw outputs of the ``expected`` numbers of requests, frozen weights untouched."""
     return gate({"edit_only_gain": (d["edit_only"], 0.02, SLACK), "edit_all_kept": (d["edit_all"], 0.0, SLACK), "edit_valid_kept": (d["edit_valid"], -0.02, SLACK)}, {
-        "inactive_identical": inactive_same, "inactive_370": inactive == 370, "active_identical": active_same, "active_250": active == 250, "frozen": frozen_drift == 0.0,
+        "inactive_identical": inactive_same, "inactive_complete": inactive == expected[0], "active_identical": active_same, "active_complete": active == expected[1], "frozen": frozen_drift == 0.0,
     })
 
 
@@ -135,3 +135,47 @@ def arm_contrasts(rows: DataFrame, arm: str, metric: str, value: str, contrasts:
     wide = rows.groupBy(metric).pivot(arm, sorted({x for c in contrasts for x in c})).agg(F.first(value))
     items = F.array(*(F.struct(F.lit(f"{a}_minus_{b}").alias("contrast"), (F.col(a) - F.col(b)).alias("delta")) for a, b in contrasts))
     return wide.select(metric, F.explode(items).alias("c")).select(metric, "c.*")
+
+
+def subset_identity(left: DataFrame, right: DataFrame, key: str, raw: str, active: Column, first: int = 10) -> DataFrame:
+    """Whether both arms answered alike where a residual is active and where it is not.
+
+    ``subset, checked, mismatches, identical, first_mismatches``: left rows of each
+    subset, those that the right arm lacks or answered otherwise (null is empty),
+    and the first keys of those. Subsets without rows do not appear.
+    """
+    own = left.select(key, F.when(active, "active").otherwise("inactive").alias("subset"), F.coalesce(raw, F.lit("")).alias("_left"))
+    other = right.select(key, F.coalesce(raw, F.lit("")).alias("_right"))
+    rows = own.join(other, key, "left").withColumn("_bad", ~F.col("_left").eqNullSafe(F.col("_right")))
+    counts = rows.groupBy("subset").agg(F.count("*").alias("checked"), F.count(F.when(F.col("_bad"), 1)).alias("mismatches"))
+    ranked = first_rows(rows.where("_bad").select("subset", key), ["subset"], [key], first)
+    firsts = ranked.groupBy("subset").agg(F.array_sort(F.collect_list(key)).alias("first_mismatches"))  # at most ``first``
+    none = F.array().cast(firsts.schema["first_mismatches"].dataType)
+    return counts.join(firsts, "subset", "left").select("subset", "checked", "mismatches", (F.col("mismatches") == 0).alias("identical"), F.coalesce("first_mismatches", none).alias("first_mismatches"))
+
+
+def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first rows of each group, as diagnostics show them; each task sends k rows of a group at most."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def wanted(gate: Sequence[DataFrame], candidates: DataFrame, key: str) -> DataFrame:
+    """Rows of all gates (copies stay) whose id some candidate has."""
+    rows = reduce(lambda a, b: a.unionByName(b), gate)
+    return rows.join(candidates.select(key), key, "left_semi")
+
+
+def united_ids(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """The distinct ids of several tables; null is no id."""
+    return reduce(lambda a, b: a.union(b), [f.select(key) for f in frames]).where(F.col(key).isNotNull()).distinct()
+
+
+def checkpoint_deltas(rows: DataFrame, baseline: DataFrame, step: str, metrics: Sequence[str], kept: Sequence[str], slack: float = 0.01) -> DataFrame:
+    """Each checkpoint's metrics less the baseline's (one row), and whether each of ``kept`` lost at most ``slack``.
+
+    Columns ``step, <metric>_delta, <metric>_safe, safe``.
+    """
+    base = F.broadcast(baseline.select(*(F.col(m).alias(f"_{m}") for m in metrics)))
+    out = rows.join(base).select(step, *((F.col(m) - F.col(f"_{m}")).alias(f"{m}_delta") for m in metrics))
+    out = out.select("*", *(F.coalesce(F.col(f"{m}_delta") >= -slack, F.lit(False)).alias(f"{m}_safe") for m in kept))
+    return out.withColumn("safe", all_of([F.col(f"{m}_safe") for m in kept]))

@@ -103,6 +103,17 @@ def external_result_ok(rows: DataFrame, task: str, tasks: Sequence[str], groups:
         (F.col("t") == F.array(*map(F.lit, want))).alias("tasks_ok"), "one_each", "evaluable", (F.col("one_each") & F.col("evaluable") & (F.col("t") == F.array(*map(F.lit, want)))).alias("ok"))
 
 
+def external_results_ok(rows: DataFrame, result: str, task: str, tasks: Sequence[str], groups: str, candidates: str, evaluable: str) -> DataFrame:
+    """The same for many results at once: ``result, tasks_ok, one_each, evaluable, ok``."""
+    want = [*tasks, "all"]
+    # counts, not lists: a result that repeats a task has more rows than tasks
+    by = rows.groupBy(result).agg(
+        F.count("*").alias("_n"), F.count_distinct(F.when(F.col(task).isin(*want), F.col(task))).alias("_known"),
+        F.coalesce(F.bool_and(F.col(groups) == F.col(candidates)), F.lit(False)).alias("one_each"), F.coalesce(F.bool_and(F.col(evaluable) == 1.0), F.lit(False)).alias("evaluable"))
+    ok = (F.col("_n") == len(want)) & (F.col("_known") == len(want))
+    return by.select(result, ok.alias("tasks_ok"), "one_each", "evaluable", (ok & F.col("one_each") & F.col("evaluable")).alias("ok"))
+
+
 def freeze(rows: DataFrame, bucket: str, sizes: dict[str, int], key: str, content: str) -> tuple[DataFrame, DataFrame]:
     """Exactly sized buckets in key order and their manifest; raises where a bucket differs from its size."""
     from .selection import by_quota

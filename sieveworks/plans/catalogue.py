@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import artifacts, evaluation, programs, records, selection, storage
+from . import artifacts, evaluation, gates, programs, records, selection, storage
 
 FLAGSHIP = "balanced_clean_selection"
-MODULES = (selection, evaluation, programs, records, storage, artifacts)
+MODULES = (selection, evaluation, programs, records, storage, artifacts, gates)
 
 
 def queries() -> dict:
