@@ -77,12 +77,14 @@ def folded_counts(rows: DataFrame, by: list[str], feature: str, width: int = 204
     return rows.groupBy(*by, folded_slot(F.col(feature), width).alias("slot")).agg(F.count("*").alias("n"))
 
 
-def cosine_graph(signatures: DataFrame, node: str = "node", vector: str = "signature") -> DataFrame:
+def cosine_graph(signatures: DataFrame, node: str = "node", vector: str = "signature", max_nodes: int = 4096) -> DataFrame:
     """Cosines of all pairs of nodes: ``src, dst, cosine`` with ``src < dst``.
 
     Nodes are the few parts of a program, not rows of a corpus: their number
-    squared is the size of the wanted matrix.
+    squared is the size of the wanted matrix. More than ``max_nodes`` raise.
     """
+    if signatures.limit(max_nodes + 1).count() > max_nodes:
+        raise ValueError(f"a matrix of more than {max_nodes} nodes")
     a = signatures.select(F.col(node).alias("src"), F.col(vector).alias("a"))
     b = signatures.select(F.col(node).alias("dst"), F.col(vector).alias("b"))
     return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", cosine(F.col("a"), F.col("b")).alias("cosine"))

@@ -85,8 +85,8 @@ def quota_table(spark, buckets: Sequence[str], total: int) -> DataFrame:
 
 def quota_split(rows: DataFrame, bucket: str, total: Column | int) -> DataFrame:
     """The same for the buckets of a table, in their order: ``bucket, quota``; ``total`` may use their number ``n``."""
-    found = rows.select(F.col(bucket).alias("bucket")).distinct()
-    numbered = found.withColumns({"_i": F.row_number().over(W.orderBy("bucket")) - 1, "n": F.count("*").over(W.partitionBy())})  # one row per bucket
+    numbered = global_place(rows.select(F.col(bucket).alias("bucket")).distinct(), ["bucket"], "_i")
+    numbered = numbered.join(F.broadcast(numbered.agg(F.count("*").alias("n"))))  # one row
     total = F.lit(total) if isinstance(total, int) else total
     return numbered.select("bucket", (F.floor(total / F.col("n")) + (F.col("_i") < total % F.col("n")).cast("int")).cast("int").alias("quota"))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folding, models, programs, vectors
+from ..functions import folding, graphs, models, programs, vectors
 from ..operators import merkle
 from ..operators.score_cache import ScoreCache
 from ..sources import tables
@@ -68,6 +68,30 @@ def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(differs, ["level", "node"], "left").withColumn("differs", F.coalesce("differs", F.lit(False)))
 
 
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph texts from parts: a chain of 1 + size % 9 carbons between two of six end groups by partkey, written from either end; every 13th is broken."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    left, right = (F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 6 + 1).cast("int")) for texts in (("O", "N", "OC(=O)", "c1ccccc1", "F", "C1CC1"), ("O", "N", "C(=O)O", "c1ccccc1", "F", "C1CC1")))
+    end = F.element_at(F.array(*map(F.lit, ("N", "O", "Cl"))), (F.floor(F.col("p_partkey") / 6) % 3 + 1).cast("int"))
+    chain = F.repeat(F.lit("C"), (1 + F.col("p_size") % 9).cast("int"))
+    broken = F.when(F.col("p_partkey") % 13 == 0, "(").otherwise("")
+    return parts.select("p_partkey", "p_size", F.concat(left, chain, end, broken).alias("one"), F.concat(end, chain, right, broken).alias("other"))
+
+
+def graph_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both ways to write a part's graph have one form, and how many parts share it."""
+    texts = _chains(spark, sf_dir)
+    a = graphs.forms(texts, "one", "form").drop("descriptors")
+    both = graphs.forms(a, "other", "form2").drop("descriptors")
+    same = both.groupBy("form").agg(F.count("*").alias("copies"))
+    return both.join(same, "form").select("p_partkey", (F.col("form") == F.col("form2")).alias("same"), (F.col("form") != "").alias("valid"), "copies")
+
+
+def graph_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven descriptors of each part's graph."""
+    return graphs.forms(_chains(spark, sf_dir), "other").select("p_partkey", "descriptors.*")
+
+
 _FOLDED = "('0x' || substr(md5(w), 1, 8))::UBIGINT"
 _NODE = "sha256(string_agg(strlen({0})::VARCHAR || ':' || {0}, '' ORDER BY {0}))"
 SQL = {
@@ -89,4 +113,20 @@ n1 AS (SELECT substr(node, 1, 1) AS node, sum(leaves)::BIGINT AS leaves, {_NODE.
 n0 AS (SELECT '' AS node, sum(leaves)::BIGINT AS leaves, {_NODE.format('item')} AS digest FROM (SELECT *, node || '=' || digest AS item FROM (SELECT node, leaves, digest FROM n1)))
 SELECT level, node, leaves, digest, starts_with(sha256('77'), node) AS differs FROM (SELECT 0 AS level, * FROM n0 UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 2, * FROM n2)""",
 }
-QUERIES = {f.__name__: f for f in (score_cache_reuse, pinned_model_scores, bitmap_similarity, compatibility_folded, tree_digest)}
+_CHAIN = """
+SELECT p_partkey, 1 + p_size % 9 AS n, p_partkey % 6 AS g, (p_partkey // 6) % 3 AS e, p_partkey % 13 = 0 AS broken FROM part"""
+SQL["graph_forms"] = f"""
+WITH c AS ({_CHAIN}),
+-- an oxygen at one end and a nitrogen at the other are one graph whichever is written first
+k AS (SELECT *, CASE WHEN broken THEN '' WHEN g = 0 AND e = 0 OR g = 1 AND e = 1 THEN 'on' || n ELSE g || '-' || e || '-' || n END AS form FROM c)
+SELECT p_partkey, true AS same, NOT broken AS valid, count(*) OVER (PARTITION BY form) AS copies FROM k"""
+SQL["graph_descriptors"] = f"""
+WITH c AS ({_CHAIN}),
+-- of each end group: mass, donors, acceptors, polar area, rings, atoms, and whether the bond to it can turn
+g AS (SELECT * FROM (VALUES (0, 15.999 + 1.008, 1, 1, 20.23, 0, 1, 0), (1, 14.007 + 2 * 1.008, 1, 1, 26.02, 0, 1, 0), (2, 12.011 + 2 * 15.999 + 1.008, 1, 1, 37.30, 0, 3, 1), (3, 6 * 12.011 + 5 * 1.008, 0, 0, 0.0, 1, 6, 1),
+      (4, 18.998, 0, 0, 0.0, 0, 1, 0), (5, 3 * 12.011 + 5 * 1.008, 0, 0, 0.0, 1, 3, 1)) AS t(g, gm, gd, ga, gp, gr, gn, gt)),
+e AS (SELECT * FROM (VALUES (0, 14.007 + 2 * 1.008, 1, 1, 26.02), (1, 15.999 + 1.008, 1, 1, 20.23), (2, 35.453, 0, 0, 0.0)) AS t(e, em, ed, ea, ep)),
+j AS (SELECT *, NOT broken AS ok FROM c JOIN g USING (g) JOIN e USING (e))
+SELECT p_partkey, CASE WHEN ok THEN round((n * (12.011 + 2 * 1.008) + gm + em)::DOUBLE, 3) END AS weight, CASE WHEN ok THEN (gd + ed)::BIGINT END AS donors, CASE WHEN ok THEN (ga + ea)::BIGINT END AS acceptors,
+       CASE WHEN ok THEN (n - 1 + gt)::BIGINT END AS rotatable, CASE WHEN ok THEN round((gp + ep)::DOUBLE, 2) END AS polar_area, CASE WHEN ok THEN gr::BIGINT END AS rings, CASE WHEN ok THEN (n + gn + 1)::BIGINT END AS heavy_atoms FROM j"""
+QUERIES = {f.__name__: f for f in (graph_forms, graph_descriptors, score_cache_reuse, pinned_model_scores, bitmap_similarity, compatibility_folded, tree_digest)}
