@@ -112,6 +112,13 @@ def test_no_pages_and_no_list(spark):
     assert [r.verdict for r in url_filter.judge_urls(pages, url_filter.listed_urls(spark).limit(0)).collect()] == ["allow"]
 
 
+def test_pages_of_listed_sites_are_listed_whatever_their_number(spark):
+    urls = ["x://www.spam-farm.example.com/fr/123456789012345678901.html", "x://cheap-pills.example.net/en/1000/", "x://m.casino-bonus.example.org/de/999", "x://spam-farm.example.com/fr/12x", "x://spam-farm.example.com/it/1000", "x://other.example.com/fr/1000", None]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    rows = url_filter.judge_urls(df, url_filter.listed_urls(spark).unionByName(url_filter.numbered_pages(df))).collect()
+    assert {r.page_id for r in rows if r.listed} == {0, 1, 2} and len(rows) == len(urls)
+
+
 def test_urls_without_broadcast_are_judged_alike(spark, sf_dir, monkeypatch):
     want = sorted(map(str, url_filter.op9_url_filter(spark, sf_dir).collect()))
     monkeypatch.setattr(url_filter, "BROADCAST_URLS", 0)
