@@ -11,6 +11,11 @@ item's size look up their own keys there, and what any table returns is a
 candidate. Candidates are confirmed by exact edit distance against the best
 passage around the window.
 
+How many walks a window would need grows with its edits, so items of over ``PIECE``
+words are looked for by their pieces: of p pieces of an item within t edits, one is
+within t / p. Pieces are windows like others; what they find is the item's place, and
+the whole item is confirmed there.
+
 With a share h of changed coordinates a walk's key agrees with a chance of
 (1 - h)^2, so 32 walks miss with (1 - (1 - h)^2)^32: 1.5 % at h = 0.65.
 
@@ -47,6 +52,8 @@ from .common import table
 
 EDITS = 0.25
 WALKS = 32
+#: Words of an item that is looked for as one window; longer ones are cut into pieces of about one length.
+PIECE = 40
 PASS_ITEMS, PASS_CHARS = 20_000, 16_000_000
 #: Windows times steps that are walked at once.
 BLOCK = 1 << 16
@@ -119,7 +126,7 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
 
 
 class Width:
-    """The items of one length: their runs of words, and their keys in the LSH tables."""
+    """The windows (items or pieces) of one length and budget: their runs of words, and their keys in the LSH tables."""
 
     def __init__(self, width: int, edits: int, items: np.ndarray, symbols: np.ndarray):
         self.width, self.edits, self.items = width, edits, items
@@ -177,18 +184,26 @@ class Items:
             if len(words) >= max(1, min_words):
                 self.ids.append(item_id)
                 self.symbols.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
+        self.edits = [int(edits * len(own)) for own in self.symbols]
+        # windows to look for: the item, where in it they begin, and their symbols
+        self.of, self.offset, windows = [], [], []
         by_width = defaultdict(list)
         for k, own in enumerate(self.symbols):
-            by_width[len(own)].append(k)
-        self.widths = [Width(w, int(edits * w), np.array(k), np.stack([self.symbols[i] for i in k])) for w, k in sorted(by_width.items())]
-        self.edits = [int(edits * len(own)) for own in self.symbols]
+            pieces = -(-len(own) // PIECE)
+            for at, piece in zip(np.cumsum([0, *(len(x) for x in np.array_split(own, pieces))]), np.array_split(own, pieces)):
+                by_width[len(piece), self.edits[k] // pieces].append(len(windows))
+                self.of.append(k)
+                self.offset.append(int(at))
+                windows.append(piece)
+        self.of, self.offset = np.array(self.of, np.int64), np.array(self.offset, np.int64)
+        self.widths = [Width(w, t, np.array(k), np.stack([windows[i] for i in k])) for (w, t), k in sorted(by_width.items())]
         # the runs of q words of all items of a length, with the number of that length
         self.runs = {}
         for q in {w.q for w in self.widths}:
             codes, of = [], []
             for number, w in enumerate(self.widths):
                 if w.q == q:
-                    own = np.unique(np.concatenate([_hash([self.symbols[i][k:w.width - q + 1 + k] for k in range(q)]) for i in w.items]))
+                    own = np.unique(np.concatenate([_hash([windows[i][k:w.width - q + 1 + k] for k in range(q)]) for i in w.items]))
                     codes.append(own)
                     of.append(np.full(len(own), number))
             codes, of = np.concatenate(codes), np.concatenate(of)
@@ -230,34 +245,35 @@ class Items:
         symbols[unknown] = -2 - unknown  # words that no item has equal no other
         steps = np.unique(np.concatenate([own.sampled.reshape(-1) for own, _ in asked]))
         every = np.unique(np.concatenate([starts for _, starts in asked]))
-        pairs = defaultdict(list)
+        pairs = []
         for k in range(0, len(every), rows := max(1, BLOCK // len(steps))):
             some = every[k:k + rows]
             far, met = walk(symbols, some, steps)
             for own, starts in asked:
                 mine = np.flatnonzero(np.isin(some, starts, assume_unique=True))
                 if len(mine):
-                    pairs[own.width].append(own.candidates(some[mine], steps, far[:, mine], met[:, mine]))
-        out = []
-        for own, _ in asked:
-            found = pairs[own.width]
-            out += self.confirm(symbols, own.width, own.edits, np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found]))
-        return out
-
-    def confirm(self, symbols: np.ndarray, w: int, t: int, items: np.ndarray, starts: np.ndarray) -> Iterator[tuple[object, int, int]]:
-        """Of candidates those with a passage within ``t`` edits: the best of each item."""
+                    pairs.append(own.candidates(some[mine], steps, far[:, mine], met[:, mine]))
+        windows, starts = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        return self.confirm(symbols, self.of[windows], starts - self.offset[windows])
+
+    def confirm(self, symbols: np.ndarray, items: np.ndarray, starts: np.ndarray) -> list[tuple[object, int, int]]:
+        """Of candidates those with a passage within the item's edits: the best of each item."""
         order = np.lexsort((starts, items))
         items, starts = items[order], starts[order]
-        cuts = np.flatnonzero((items[1:] != items[:-1]) | (starts[1:] - starts[:-1] > 2 * t + 1)) + 1
+        budget = np.array(self.edits, np.int64)[items]
+        cuts = np.flatnonzero((items[1:] != items[:-1]) | (starts[1:] - starts[:-1] > 2 * budget[1:] + 1)) + 1
         best: dict[int, tuple[int, int]] = {}
         for group in np.split(np.arange(len(items)), cuts):
             if len(group):
                 item, first, last = int(items[group[0]]), int(starts[group[0]]), int(starts[group[-1]])
-                region = symbols[max(0, first - t):last + w + 2 * t]
+                w, t = len(self.symbols[item]), self.edits[item]
+                # what edits before a piece have moved it by
+                moved = t if w > PIECE else 0
+                region = symbols[max(0, first - t - moved):max(0, last + w + 2 * t + moved)]
                 # each word of the item that is not there costs an edit
                 edits = passage_distance(self.symbols[item], region) if np.count_nonzero(np.isin(self.symbols[item], region)) >= w - t else t + 1
                 if edits <= t and (item not in best or edits < best[item][0]):
-                    places = np.unique(starts[group])
+                    places = np.unique(np.maximum(starts[group], 0))
                     around = places[:, None] + np.arange(w)
                     differ = (symbols[np.minimum(around, len(symbols) - 1)] != self.symbols[item]) | (around >= len(symbols))
                     best[item] = (edits, int(places[np.argmin(differ.sum(axis=1))]))

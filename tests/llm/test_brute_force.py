@@ -423,6 +423,26 @@ def test_leaks_of_items_of_any_length(width):
     assert found >= 0.95 * n
 
 
+@pytest.mark.parametrize("width", [8, 20, 40, 41, 60, 100, 200, 300, 600, 1200])
+def test_nine_in_ten_are_found_at_the_full_budget_of_each_kind_of_edit(width):
+    r, n = random.Random(width), 30 if width <= 300 else 8
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [[r.choice(vocabulary) for _ in range(width)] for _ in range(n)]
+    search, budget = decontaminate.Items([(k, " ".join(x)) for k, x in enumerate(items)], decontaminate.EDITS), int(decontaminate.EDITS * width)
+    for kind in ("delete", "insert", "replace", "mixed"):
+        found = 0
+        for k, words_ in enumerate(items):
+            kinds = [kind if kind != "mixed" else r.choice(("delete", "insert", "replace")) for _ in range(budget)]
+            places = r.sample(range(width), sum(x != "insert" for x in kinds))
+            gone = set(places[:kinds.count("delete")])
+            text = [f"x{r.randrange(10**9)}" if i in set(places) else w for i, w in enumerate(words_) if i not in gone]
+            for _ in range(kinds.count("insert")):
+                text.insert(r.randrange(len(text) + 1), f"y{r.randrange(10**9)}")
+            around = lambda: [r.choice(vocabulary) for _ in range(30)]
+            found += any(hit[0] == k and hit[1] <= budget for hit in search.search(" ".join([*around(), *text, *around()])))
+        assert found >= 0.9 * n, (kind, found, n)
+
+
 def test_leaks_in_scripts_without_blanks():
     search = decontaminate.Items([("1", "以下哪个城市是法国的首都和最大的城市"), ("2", "ประเทศไทยมีเมืองหลวงชื่อว่าอะไร")], decontaminate.EDITS)
     assert [h[:2] for h in search.search("他问：以下哪个城市是法国的首都和最大的城市？")] == [("1", 0)]
