@@ -51,7 +51,7 @@ CONFIDENT = -0.5
 
 # Element groups of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object canvas textarea select option datalist math audio video button".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object canvas textarea select option datalist annotation annotation-xml audio video button".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -64,6 +64,8 @@ ENDED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: Elements that hold one piece of an article's text.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th figcaption".split())
 TAG_GROUPS = (
     ("p", "pre", "blockquote"), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dd", "dt"), ("ul", "ol", "dl", "menu", "dir"), ("article",), ("main",),
     ("section",), ("div", "center"), ("nav",), ("header", "hgroup"), ("footer", "address"), ("aside",), ("form", "fieldset", "dialog"),
@@ -78,7 +80,7 @@ TOKEN_KINDS = (
     ("header", "masthead", "banner", "topbar", "logo", "site"),
     ("sidebar", "aside", "side", "widget", "rail", "related", "recommended", "trending", "more", "complementary", "tags", "popular", "promo"),
     ("ad", "ads", "advert", "adverts", "advertisement", "sponsored", "sponsor", "promoted", "banner"),
-    ("comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "reader", "readers", "feedback"),
+    ("comment", "comments", "commentlist", "reply", "replies", "discussion", "disqus", "respond", "reader", "readers", "feedback"),
     ("cookie", "cookies", "notice", "consent", "gdpr", "alert", "modal", "popup", "overlay", "subscribe", "newsletter", "paywall", "announcement"),
     ("share", "social", "byline", "meta", "author", "follow", "print", "login", "signup", "search", "form"),
 )
@@ -114,7 +116,8 @@ class Element:
             kinds = set()
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name = name.lower()
-                if name in ("class", "id", "role"):
+                # a piece of text's id is where links lead, not what it is
+                if name in ("class", "role") or name == "id" and tag not in PIECES:
                     for token in _TOKEN.findall("".join(values).lower()):
                         kinds.update(_KIND_OF.get(token, ()))
                 elif hides(name, "".join(values)):

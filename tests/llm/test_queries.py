@@ -134,6 +134,18 @@ def test_pages_of_every_kind(spark):
     assert got[3] == "unclosed bold\n\ntwo & three !"
 
 
+def test_formulas_anchors_and_comment_lists(spark):
+    words = "the river runs slowly past the old mill and the people of the town walk along its banks in the evening light, talking of the harvest, the weather and the news."
+    page = lambda body: f"<html><body><nav><a href=a>home</a> <a href=b>news</a></nav><article><h1>Title</h1><p>{words}</p>{body}<p>{words}</p></article><footer>copyright</footer></body></html>"
+    formula = page(f"<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds, {words}</p>")
+    anchor = page(f"<p id='ad-law'>Of advertising: {words}</p>")
+    comments = page("").replace("<footer>", "<ol class='commentlist'><li><p>Great read, thanks, said a reader.</p></li><li><p>I disagree with all of it.</p></li></ol><footer>")
+    df = spark.createDataFrame([(0, formula), (1, anchor), (2, comments)], "page_id int, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[0] == f"Title\n\n{words}\n\nHere x=2 holds, {words}\n\n{words}" and got[1] == f"Title\n\n{words}\n\nOf advertising: {words}\n\n{words}"
+    assert got[2] == f"Title\n\n{words}\n\n{words}"
+
+
 def test_neighbours_of_awkward_vectors(spark):
     rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (64, [1.0]), (None, [1.0, 1.0, 1.0]), (80, [9.0, float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
