@@ -93,12 +93,9 @@ def edit_record(row_id: Column, source: Column, target: Column, active: Column,
 
     ``active`` holds the properties that may be named, ``directions`` maps them to directions.
     """
-    material = F.concat_ws(":", F.lit(str(seed)), row_id, source, target)
+    program = edit_program(row_id, source, target, active, directions, seed, subset, size) if program is None else program
+    material = edit_material(row_id, source, target, seed)
     size = chosen_size(seed, material, 1, F.least(F.lit(7), F.size(active))) if size is None else size
-    chosen = subset(active, material, size)
-    way = lambda p: programs.direction_of(F.try_element_at(directions, p))
-    made = F.transform(chosen, lambda p: programs.condition(p, way(p)))
-    program = F.when(F.exists(made, lambda c: c["direction"] == ""), F.raise_error(F.lit("active edit property without direction")).cast(programs.PROGRAM)).otherwise(made)
     return [
         F.lit(DATASET).alias("dataset"), F.lit(VERSION).alias("release_version"), keys.short_id("mpi4m:edit", keys.pair_key(source, target)).alias("example_id"), F.lit("edit").alias("task_mode"),
         source.alias("source_smiles"), target.alias("target_smiles"), keys.sha(source).alias("source_hash"), keys.sha(target).alias("target_hash"), keys.pair_key(source, target).alias("pair_hash"),
@@ -113,6 +110,7 @@ def edit_record(row_id: Column, source: Column, target: Column, active: Column,
 
 
 def scorer_row(source: Column, mode: Column, program: Column) -> Column:
+    ``program`` is a column that holds ``edit_program`` already, so that it is not computed for each column.
     """The wide row of a program as a map of texts; raises where no property is supported."""
     known = F.filter(program, lambda c: c["property"].isin(*programs.PROPERTIES))
     one = lambda name, value: F.struct(name.alias("key"), value.alias("value"))

@@ -129,9 +129,10 @@ def hash_bucket(digest: Column, least: int, buckets: int) -> Column:
 
 def hashed_subset(items: Column, material: Column, size: int | Column) -> Column:
     """The ``size`` items with the smallest hash of ``material:item``, in program order."""
-    keyed = F.array_sort(F.transform(items, lambda x: F.struct(keys.sha(F.concat(material, F.lit(":"), x)).alias("h"), x.alias("x"))))
+    # structs are never null, so this is the order of array_sort, without its interpreted comparisons
+    keyed = F.sort_array(programs.once(material, lambda m: F.transform(items, lambda x: F.struct(keys.sha(F.concat(m, F.lit(":"), x)).alias("h"), x.alias("x")))))
     chosen = F.transform(F.slice(keyed, 1, size), lambda s: F.struct(programs.place_of(s["x"]).alias("p"), s["x"].alias("x")))
-    return F.transform(F.array_sort(chosen), lambda s: s["x"])
+    return F.transform(F.sort_array(chosen), lambda s: s["x"])
 
 
 def greedy_buckets(rows: DataFrame, order: str, feasible: str, material: str, buckets: Sequence[int], group: str | None = None) -> DataFrame:

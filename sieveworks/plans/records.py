@@ -64,7 +64,10 @@ def edit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").where("p_size % 7 <> 0")
     active = F.filter(F.array(*map(F.lit, records.DESCRIPTORS)), lambda p: (programs.place_of(p) + F.col("p_size")) % 3 != 0)
     ways = F.create_map(*(x for k, p in enumerate(records.DESCRIPTORS) for x in (F.lit(p), F.when((F.col("p_size") + k) % 2 == 0, "Up").otherwise("lower"))))
-    columns = records.edit_record(F.col("p_partkey").cast("string"), F.translate("p_brand", "#", "_"), F.translate("p_name", " ", "_"), active, ways, F.col("p_size") / 50, F.col("p_type"), F.lit(""), SEED, SYSTEM, selection.hashed_subset)
+    ids = F.col("p_partkey").cast("string"), F.translate("p_brand", "#", "_"), F.translate("p_name", " ", "_")
+    # computed once for the columns that need them
+    parts = parts.withColumn("active", active).withColumn("program", records.edit_program(*ids, F.col("active"), ways, SEED, selection.hashed_subset))
+    columns = records.edit_record(*ids, F.col("active"), ways, F.col("p_size") / 50, F.col("p_type"), F.lit(""), SEED, SYSTEM, selection.hashed_subset, program=F.col("program"))
     rows = parts.select("p_partkey", *columns)
     return rows.select("p_partkey", "example_id", "task_mode", "source_hash", "target_hash", "pair_hash", F.round("source_tanimoto", 9).alias("source_tanimoto"), "condition_hash", "task_key", "property_count", F.col("messages")[1]["content"].alias("request"), F.array_join("provenance.verified_descriptor_properties", ",").alias("active"), "selection_rank")
 
