@@ -69,15 +69,22 @@ def chosen_size(seed: int, material: Column, least: int, most: Column) -> Column
     return (F.lit(least) + (number % most.cast("decimal(20,0)"))).cast("int")
 
 
-def construction_record(target: Column, rank: Column, values: Column, target_hash: Column, source_id: Column, seed: int, system: str, subset, size: Column | None = None) -> list[Column]:
+def construction_program(rank: Column, values: Column, seed: int, subset, size: Column | None = None) -> Column:
+    """The program of a construction record: properties chosen by hash, with their values as goals."""
+    size = chosen_size(seed, rank, 2, F.lit(6)) if size is None else size
+    chosen = programs.once(F.concat(F.lit(f"{seed}:"), rank), lambda m: subset(F.array(*map(F.lit, DESCRIPTORS)), m, size))
+    return programs.once(values, lambda v: F.transform(chosen, lambda p: programs.condition(p, None, F.element_at(v, p))))
+
+
+def construction_record(target: Column, rank: Column, values: Column, target_hash: Column, source_id: Column, seed: int, system: str, subset, size: Column | None = None, program: Column | None = None) -> list[Column]:
     """The columns of a construction record.
 
     ``values`` maps descriptors to numbers; ``subset(items, material, size)``
-    chooses properties by hash and puts them in program order.
+    chooses properties by hash and puts them in program order. ``program`` is a column
+    that holds ``construction_program`` already, so that it is not computed for each column.
     """
+    program = construction_program(rank, values, seed, subset, size) if program is None else program
     size = chosen_size(seed, rank, 2, F.lit(6)) if size is None else size
-    chosen = subset(F.array(*map(F.lit, DESCRIPTORS)), F.concat(F.lit(f"{seed}:"), rank), size)
-    program = F.transform(chosen, lambda p: programs.condition(p, None, F.element_at(values, p)))
     source = F.lit(programs.EMPTY_SOURCE)
     return [
         F.lit(DATASET).alias("dataset"), F.lit(VERSION).alias("release_version"), keys.short_id("mpi4m:de_novo", target_hash).alias("example_id"), F.lit("de_novo").alias("task_mode"),
@@ -88,7 +95,21 @@ def construction_record(target: Column, rank: Column, values: Column, target_has
     ]
 
 
-def edit_record(row_id: Column, source: Column, target: Column, active: Column, directions: Column, similarity: Column, instruction: Column, tasks: Column, seed: int, system: str, subset, size: Column | None = None) -> list[Column]:
+def edit_material(row_id: Column, source: Column, target: Column, seed: int) -> Column:
+    """What an edit record's choices are hashed from."""
+    return F.concat_ws(":", F.lit(str(seed)), row_id, source, target)
+
+
+def edit_program(row_id: Column, source: Column, target: Column, active: Column, directions: Column, seed: int, subset, size: Column | None = None) -> Column:
+    """The program of an edit record: active properties chosen by hash; raises where one has no direction."""
+    size = (lambda m, a: chosen_size(seed, m, 1, F.least(F.lit(7), F.size(a)))) if size is None else (lambda m, a, s=size: s)
+    chosen = programs.once(F.struct(edit_material(row_id, source, target, seed).alias("m"), active.alias("a")), lambda x: subset(x["a"], x["m"], size(x["m"], x["a"])))
+    made = programs.once(directions, lambda ways: F.transform(chosen, lambda p: programs.condition(p, programs.direction_of(F.try_element_at(ways, p)))))
+    refused = F.raise_error(F.lit("active edit property without direction")).cast(programs.PROGRAM)
+    return programs.once(made, lambda x: F.when(F.exists(x, lambda c: c["direction"] == ""), refused).otherwise(x))
+
+
+def edit_record(row_id: Column, source: Column, target: Column, active: Column, directions: Column, similarity: Column, instruction: Column, tasks: Column, seed: int, system: str, subset, size: Column | None = None, program: Column | None = None) -> list[Column]:
     """The columns of an edit record; raises where an active property has no direction.
 
     ``active`` holds the properties that may be named, ``directions`` maps them to directions.

@@ -55,8 +55,9 @@ def _values() -> Column:
 
 def construction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank, target = F.sha2(F.col("p_partkey").cast("string"), 256), F.translate("p_name", " ", "_")
-    columns = records.construction_record(target, rank, _values(), F.sha2(target, 256), F.col("p_partkey").cast("string"), SEED, SYSTEM, selection.hashed_subset)
-    rows = table(spark, sf_dir, "part").select("p_partkey", *columns)
+    parts = table(spark, sf_dir, "part").withColumn("program", records.construction_program(rank, _values(), SEED, selection.hashed_subset))
+    columns = records.construction_record(target, rank, _values(), F.sha2(target, 256), F.col("p_partkey").cast("string"), SEED, SYSTEM, selection.hashed_subset, program=F.col("program"))
+    rows = parts.select("p_partkey", *columns)
     return rows.select("p_partkey", "dataset", "release_version", "example_id", "task_mode", "source_smiles", "target_smiles", "source_hash", "target_hash", "condition_hash", "task_key", "property_count", F.col("messages")[1]["content"].alias("request"), F.col("messages")[2]["content"].alias("answer"), F.col("provenance.program_view").alias("program_view"), "selection_rank")
 
 

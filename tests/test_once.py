@@ -7,6 +7,7 @@ from sieveworks.plans import catalogue
 #: By query: a function of the shared value, and how often the plan may name it.
 COSTLY = {
     "edit_records": ("sha2(", 12),
+    "construction_records": ("sha2(", 12),
 }
 
 
