@@ -10,6 +10,7 @@ COSTLY = {
     "construction_records": ("sha2(", 12),
     "missing_oracles": ("from_json(", 3),
     "prompt_messages": ("from_json(", 2),
+    "program_dispatch": ("from_json(", 1),
 }
 
 
