@@ -11,6 +11,7 @@ COSTLY = {
     "missing_oracles": ("from_json(", 3),
     "prompt_messages": ("from_json(", 2),
     "program_dispatch": ("from_json(", 1),
+    "task_key_label": ("from_json(", 1),
 }
 
 
