@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .programs import once
+
 
 @lru_cache(maxsize=1)
 def tables() -> tuple[dict[str, str], frozenset[str]]:
@@ -41,37 +43,42 @@ def _joins(c: str, second: set[str]) -> bool:
     return c in second or first in second or unicodedata.combining(c) != 0 or bool(first) and unicodedata.combining(first) != 0
 
 
-def _holds(text: Column, points) -> Column:
-    """Whether a text holds one of many code points, by a hash lookup for each of its own."""
-    return F.length(F.translate(text, "".join(sorted(points)), "")) < F.length(text)
+def _kind(text: Column, joining, long) -> Column:
+    """3 where a text holds a code point that may join others, 2 where one folds to several, 1 where one is beyond ASCII, else 0.
+
+    One look at what is left without ASCII, in which 2 and 3 then stand for the code points of those kinds.
+    """
+    beyond = F.regexp_replace(text, r"[\x00-\x7f]+", "")
+    several = sorted(set(long) - joining)
+    marked = F.translate(beyond, "".join(sorted(joining)) + "".join(several), "3" * len(joining) + "2" * len(several))
+    return once(marked, lambda m: F.when(m.contains("3"), 3).when(m.contains("2"), 2).when(m != "", 1).otherwise(0))
 
 
 def nfkc(rows: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """The table with a text column's compatibility composition.
 
     Folds to one code point are a ``translate``. Longer ones are looked up in a map, for
-    the code points that have one in texts that hold any. No row is exploded.
+    the code points that have one in texts that hold any. No row is exploded. The table is read
+    once and each text looked at once: what follows from its kind is taken from columns, as a filter
+    would compute the text again for every branch.
     """
     name = name or column
     folds, joining = tables()
-    text = F.col(column)
     short = {c: f for c, f in folds.items() if len(f) == 1}
     long = {c: f for c, f in folds.items() if len(f) > 1}
     gone = "".join(c for c, f in folds.items() if not f)
-    pairs = rows.sparkSession.createDataFrame([(list(long.items()),)], "pairs array<struct<k:string,v:string>>").select(F.map_from_entries("pairs").alias("_folds"))
+    pairs = rows.sparkSession.createDataFrame([(list(long.items()),)], "pairs array<struct<k:string,v:string>>").select(F.map_from_entries("pairs").alias("_nfkc_folds"))
 
     @F.pandas_udf("string")
     def compose(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
+        return values.str.normalize("NFKC") if values.notna().any() else values
 
     translated = lambda c: F.translate(c, "".join(short) + gone, "".join(short.values()))
     is_long = lambda c: F.translate(c, "".join(long), "") == ""
-    expanded = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(is_long(c), F.try_element_at(F.col("_folds"), c)).otherwise(c)), "")
-    kind = (
-        F.when(text.isNull() | ~text.rlike(r"[^\x00-\x7f]"), 0).when(_holds(text, joining), 3).when(_holds(text, long), 2).otherwise(1)
-    )
-    # apart, since a Python function in a branch would be run for every row
-    of = lambda k: rows.where(kind == k)
-    out = of(0).withColumn(name, text).unionByName(of(1).withColumn(name, translated(text)))
-    out = out.unionByName(of(2).join(F.broadcast(pairs)).withColumn(name, translated(expanded)).drop("_folds"))  # a map of one row
-    return out.unionByName(of(3).withColumn(name, compose(text)))
+    text, kind = F.col("_nfkc_text"), F.col("_nfkc_kind")
+    expanded = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(is_long(c), F.try_element_at(F.col("_nfkc_folds"), c)).otherwise(c)), "")
+    seen = rows.withColumn("_nfkc_text", F.col(column)).withColumn("_nfkc_kind", _kind(text, joining, long))
+    # Python gets the texts that need it; for the others a null goes there
+    seen = seen.withColumn("_nfkc_composed", compose(F.when(kind == 3, text))).crossJoin(F.broadcast(pairs))  # a map of one row
+    out = F.when(kind == 3, F.col("_nfkc_composed")).when(kind == 2, translated(expanded)).when(kind == 1, translated(text)).otherwise(text)
+    return seen.withColumn(name, out).drop("_nfkc_text", "_nfkc_kind", "_nfkc_composed", "_nfkc_folds")

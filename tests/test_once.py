@@ -12,6 +12,7 @@ COSTLY = {
     "prompt_messages": ("from_json(", 2),
     "program_dispatch": ("from_json(", 1),
     "task_key_label": ("from_json(", 1),
+    "compatibility_folded": ("translate(", 12),
 }
 
 
