@@ -7,10 +7,11 @@ with the stream: after a restart or a lost executor it goes on from the last bat
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -105,37 +106,61 @@ def current(changes: DataFrame) -> DataFrame:
 
 
 class _Recent(StatefulProcessor):
-    def __init__(self, order: list[str], names: list[str], remember_ms: int):
-        self.order, self.names, self.remember = order, names, remember_ms
+    """The keys of late of one bucket, as one value: a batch asks the store once a bucket, not five times a key."""
+
+    def __init__(self, key: str, order: list[str], names: list[str], remember_ms: int):
+        self.key, self.order, self.names, self.remember = key, order, names, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "until long")
+        self.seen = handle.getValueState("seen", "timer long, until binary")
+
+    def _held(self, now: int) -> tuple[int | None, dict]:
+        if not self.seen.exists():
+            return None, {}
+        timer, packed = self.seen.get()
+        return timer, {k: until for k, until in pickle.loads(bytes(packed)).items() if until >= now}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.seen.exists()
-        if known:
-            self.handle.deleteTimer(self.seen.get()[0])
-        until = timerValues.getCurrentProcessingTimeInMs() + self.remember
-        self.seen.update((until,))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        timer, held = self._held(now)
+        before, until = _before(self.order), now + self.remember
+        first: dict[object, dict] = {}
+        came = set()
+        for r in rows:
+            row = r.asDict()
+            k = row[self.key]
+            came.add(k)
+            if k not in held and (k not in first or before(row) < before(first[k])):
+                first[k] = row
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.seen.update((until, pickle.dumps({**held, **dict.fromkeys(came, until)})))
         self.handle.registerTimer(until)
-        if not known:
-            first = min((r.asDict() for r in rows), key=_before(self.order))
-            yield Row(*self.names)(*(first[c] for c in self.names))
+        out = Row(*self.names)
+        for row in first.values():
+            yield out(*(row[c] for c in self.names))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # the timer is that of the bucket's last keys: none is younger
         self.seen.clear()
         return iter([])
 
 
+def _bucket(key: str) -> Column:
+    """The bucket of a key, for the state and for the folders of the store."""
+    return F.pmod(F.xxhash64(key), F.lit(STORE_BUCKETS)).cast("int")
+
+
 def not_seen_lately(stream: DataFrame, key: str, order: Sequence[str], remember_ms: int) -> DataFrame:
     """Each batch's first row of every key that did not come in the last ``remember_ms``.
 
-    A key's state goes when its timer fires: the state holds the keys of that
-    time, not those of the stream. Rows that tie in ``order`` are put in order by their other columns.
+    The state has one value for each of ``STORE_BUCKETS`` buckets, the keys of that time in it, not those of
+    the stream; it goes when its timer fires. Rows that tie in ``order`` are put in order by their other columns.
     """
     order = [*order, *(c for c in stream.columns if c not in order)]
-    return stream.groupBy(key).transformWithState(_Recent(order, stream.columns, remember_ms), stream.schema, "Update", "ProcessingTime")
+    dealt = stream.withColumn("_dealt", _bucket(key))
+    return dealt.groupBy("_dealt").transformWithState(_Recent(key, order, stream.columns, remember_ms), stream.schema, "Update", "ProcessingTime")
 
 
 class FirstSeen:
@@ -154,14 +179,16 @@ class FirstSeen:
     def sink(self) -> Callable[[DataFrame, int], None]:
         def merge(batch: DataFrame, number: int) -> None:
             spark = batch.sparkSession
-            bucketed = batch.withColumn("_bucket", F.pmod(F.xxhash64(self.key), F.lit(STORE_BUCKETS)).cast("int"))
+            bucketed = batch.withColumn("_bucket", _bucket(self.key))
             # the state is asked once; the store is asked for what it let through
             draft = StepLog(spark, f"{self.store.root}/passed", self.store.schema)
             draft.append(bucketed, number)
             passed = draft.read(number, number)
             buckets = [r[0] for r in passed.select("_bucket").distinct().collect()]  # at most STORE_BUCKETS numbers
             known = self.store.read(number - 1).where(F.col("_bucket").isin(buckets) if buckets else F.lit(False)).select(self.key)
-            self.store.append(passed.join(known, passed[self.key].eqNullSafe(known[self.key]), "left_anti"), number)
+            new = passed.join(known, passed[self.key].eqNullSafe(known[self.key]), "left_anti")
+            # a bucket is written by one task: a file for each, not one for each task and bucket
+            self.store.append(new.repartition("_bucket"), number)
 
         return merge
 

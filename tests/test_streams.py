@@ -117,3 +117,12 @@ def test_forgotten_keys_leave_the_state(spark, tmp_path):
         sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
         time.sleep(0.05)
     assert sizes[-1] <= 2 * sizes[0] < 300 * 4 * 2, sizes
+
+
+def test_first_seen_store_has_a_file_for_each_bucket(spark, tmp_path):
+    first = keyed.FirstSeen(spark, f"{tmp_path}/store", frame(spark, []).schema, "bucket")
+    rows = spark.range(4000).select("id", F.col("id").cast("string").alias("bucket"), F.lit(0).cast("long").alias("v")).repartition(16)
+    first.sink()(rows, 0)
+    first.sink()(rows.withColumn("id", F.col("id") + 4000), 1)
+    assert first.rows().count() == 4000
+    assert len(list(tmp_path.glob("store/data/**/_bucket=*/*.parquet"))) <= keyed.STORE_BUCKETS
