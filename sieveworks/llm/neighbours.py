@@ -56,6 +56,8 @@ START_BLOCK, STARTS = 256, 2
 ROUNDS, SETTLED = 12, 0.04
 #: Nodes whose best are a search's first.
 SAMPLE = 1024
+#: The nearest of those that have a node as a neighbour, in the lists of the search: hubs are few, and with fewer links back a search must expand far more.
+BACK = 2 * DEGREE
 #: Nodes, and queries, of a partition.
 NODES_PER_PART, QUERIES_PER_PART = 4096, 256
 BEAM, EXPANDED, SEARCH_ROUNDS = 384, 40, 4
@@ -339,13 +341,14 @@ def greedy_search(graph: DataFrame, queries: DataFrame, k: int, n: int) -> DataF
     flat = graph.select("node", "ids", "near").mapInPandas(_exploded, "node long, found long, near float")
     back = flat.select(F.col("found").alias("node"), F.col("node").alias("found"), "near")
     nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("near"), "found"))
-    back = back.withColumn("r", nearest).where(F.col("r") <= DEGREE)
+    back = back.withColumn("r", nearest).where(F.col("r") <= BACK)
     own = graph.select(F.col("node").alias("found"), F.col("packed").alias("theirs"))
-    met = flat.select("node", "found").unionByName(back.select("node", "found"))
-    lists = met.join(own, "found").groupBy("node").agg(F.collect_set(F.struct("found", "theirs")).alias("list"))
-    lists = lists.select("node", F.col("list.found").alias("found"), F.col("list.theirs").alias("theirs"))
-    # dealt by node once: the rounds' joins then move the search fronts only
-    lists = lists.repartition(max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // NODES_PER_PART)), "node").persist(StorageLevel.DISK_ONLY)
+    # most links go both ways; once each, before the vectors join them
+    met = flat.select("node", "found").unionByName(back.select("node", "found")).distinct()
+    # dealt by node once: vectors move once, and the rounds' joins then move the search fronts only
+    met = met.join(own, "found").repartition(max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // NODES_PER_PART)), "node")
+    lists = met.groupBy("node").agg(F.collect_list(F.struct("found", "theirs")).alias("list"))
+    lists = lists.select("node", F.col("list.found").alias("found"), F.col("list.theirs").alias("theirs")).persist(StorageLevel.DISK_ONLY)
 
     def step(batches: Iterator[pd.DataFrame], beam: int, expanded: int) -> Iterator[pd.DataFrame]:
         rows = _whole(batches)

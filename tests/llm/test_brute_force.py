@@ -578,3 +578,18 @@ def test_recall_beside_near_copies_and_a_long_vector(spark, kind):
         s[q] = -np.inf
         hits += len(found & set(np.argsort(-s)[:20]))
     assert hits >= 0.97 * 20 * len(got) and len(got) == 75
+
+
+def test_a_search_follows_the_links_back_to_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 1)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(101, 16))
+    x[1:61] = x[0] + 0.05 * r.normal(size=(60, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = neighbours.closeness(x).astype(np.float32)
+    # the hub 0 has 32 far neighbours; 60 near nodes have it as their only one and are in no list
+    lists = {k: list(range(61, 93)) if k == 0 else [0] for k in range(101)}
+    graph = spark.createDataFrame([(k, x[k].tobytes(), np.array(v, np.int64).tobytes(), near[k, v].tobytes()) for k, v in lists.items()], "node long, packed binary, ids binary, near binary")
+    queries = spark.createDataFrame([(0, x[0].tobytes())], "query long, asked binary")
+    [found] = neighbours.greedy_search(graph, queries, 40, 101).collect()
+    assert set(np.argsort(-(x.astype(float) @ x[0].astype(float)))[:41]) <= set(np.frombuffer(found.ids, np.int64))
