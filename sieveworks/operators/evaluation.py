@@ -153,7 +153,9 @@ def running_totals(history: DataFrame, order: str, values: Sequence[str], by: Se
 
 def item_histogram(rows: DataFrame, items: str) -> DataFrame:
     """How many rows name each item; a row counts once for each of its items."""
-    return rows.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    # a plain explode would have the items computed again at the scan, to see whether there are any
+    named = rows.select(F.posexplode_outer(F.array_distinct(items)).alias("place", "item")).where("place IS NOT NULL")
+    return named.groupBy("item").agg(F.count("*").alias("n"))
 
 
 def metric_deltas(left: DataFrame, right: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:

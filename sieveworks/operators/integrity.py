@@ -76,7 +76,9 @@ def nonfinite_counts(values: DataFrame, by: str, value: str) -> DataFrame:
 
 def missing_oracles(programs: DataFrame, program: str, available: Sequence[str]) -> DataFrame:
     """Properties that programs ask for and no oracle gives."""
-    return programs.select(F.explode(program).alias("c")).select(F.col("c.property").alias("property")).distinct().where(~F.col("property").isin(*available))
+    # a plain explode would have the program computed again at the scan, to see whether it is empty
+    asked = programs.select(F.posexplode_outer(program).alias("place", "c")).where("place IS NOT NULL")
+    return asked.select(F.col("c.property").alias("property")).distinct().where(~F.col("property").isin(*available))
 
 
 def content_manifest(rows: DataFrame, part: Sequence[str], key: str, content: str) -> DataFrame:

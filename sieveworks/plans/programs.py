@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, plugins, programs, scoring, sequences, vectors
 from ..operators import evaluation, integrity
 from .evaluation import rounded
-from .selection import documents, table
+from .selection import documents, spread, table
 
 #: Binary layout by property, and a weighted one by mode and property.
 BINARY = {"rank": 8, "common_ranks": [0, 1], "property_ranks": {"click": [2, 3], "error": [3, 4], "purchase": [5], "signup": [6, 7], "view": [4]}, "mode_ranks": {"edit": [2]}, "normalization": "rms_active"}
@@ -102,11 +102,11 @@ def _tasks(p: str = "p_size") -> Column:
 def task_key_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     program = programs.from_instructions(_tasks(), F.lit(None).cast("string"), F.lit(None).cast("string"))
     label = programs.task_label(F.col("program"))
-    return table(spark, sf_dir, "part").select("p_partkey", program.alias("program")).select("p_partkey", label.alias("label"), programs.is_registered(label).alias("registered"), programs.program_hash(F.col("program")).alias("hash"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", program.alias("program")).select("p_partkey", label.alias("label"), programs.is_registered(label).alias("registered"), programs.program_hash(F.col("program")).alias("hash"))
 
 
 def control_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("yes").alias("MW_active"), (F.col("p_retailprice") / 3).cast("string").alias("MW_setting"), F.when(F.col("p_size") % 2 == 0, "false").otherwise("true").alias("QED_None"), F.lit("raise").alias("QED_direction"))
+    p = spread(table(spark, sf_dir, "part")).select("p_partkey", F.lit("yes").alias("MW_active"), (F.col("p_retailprice") / 3).cast("string").alias("MW_setting"), F.when(F.col("p_size") % 2 == 0, "false").otherwise("true").alias("QED_None"), F.lit("raise").alias("QED_direction"))
     program = programs.from_controls(set(p.columns))
     return p.select("p_partkey", F.size(program).alias("n"), programs.task_label(program).alias("label"))
 
@@ -138,7 +138,7 @@ def message_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     program = programs.from_instructions(_tasks(), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", program.alias("program"), F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("source"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", program.alias("program"), F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("source"))
     turns = rows.select("p_partkey", programs.prompt(F.col("source"), F.col("program"), "design").alias("m"))
     again = programs.request_program(F.lit(None).cast(programs.PROGRAM), F.col("m"))
     return turns.select("p_partkey", F.col("m")[1]["content"].alias("content"), programs.request_mode(F.lit(""), F.col("m")).alias("mode"), F.size(again).alias("conditions"))
@@ -221,12 +221,12 @@ def distinct_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_oracles(spark: SparkSession, sf_dir: str) -> DataFrame:
     program = programs.from_instructions(_tasks(), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    return integrity.missing_oracles(table(spark, sf_dir, "part").select(program.alias("program")), "program", ["MW", "QED"])
+    return integrity.missing_oracles(spread(table(spark, sf_dir, "part")).select(program.alias("program")), "program", ["MW", "QED"])
 
 
 def property_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     program = programs.from_instructions(_tasks(), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    rows = table(spark, sf_dir, "part").select(F.transform(program, lambda c: c["property"]).alias("items"))
+    rows = spread(table(spark, sf_dir, "part")).select(F.transform(program, lambda c: c["property"]).alias("items"))
     return evaluation.item_histogram(rows, "items")
 
 

@@ -9,7 +9,7 @@ from ..functions import programs, records, scoring, vectors
 from ..operators import evaluation, integrity, selection
 from . import programs as scored_plans
 from .evaluation import rounded
-from .selection import table
+from .selection import spread, table
 
 SEED, SYSTEM = 1701, "design"
 _TASK_PICK = (*programs.REGISTERED_TASKS, "LogP:increase+HBA:decrease", "")
@@ -55,14 +55,14 @@ def _values() -> Column:
 
 def construction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank, target = F.sha2(F.col("p_partkey").cast("string"), 256), F.translate("p_name", " ", "_")
-    parts = table(spark, sf_dir, "part").withColumn("program", records.construction_program(rank, _values(), SEED, selection.hashed_subset))
+    parts = spread(table(spark, sf_dir, "part")).withColumn("program", records.construction_program(rank, _values(), SEED, selection.hashed_subset))
     columns = records.construction_record(target, rank, _values(), F.sha2(target, 256), F.col("p_partkey").cast("string"), SEED, SYSTEM, selection.hashed_subset, program=F.col("program"))
     rows = parts.select("p_partkey", *columns)
     return rows.select("p_partkey", "dataset", "release_version", "example_id", "task_mode", "source_smiles", "target_smiles", "source_hash", "target_hash", "condition_hash", "task_key", "property_count", F.col("messages")[1]["content"].alias("request"), F.col("messages")[2]["content"].alias("answer"), F.col("provenance.program_view").alias("program_view"), "selection_rank")
 
 
 def edit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_size % 7 <> 0")
+    parts = spread(table(spark, sf_dir, "part")).where("p_size % 7 <> 0")
     active = F.filter(F.array(*map(F.lit, records.DESCRIPTORS)), lambda p: (programs.place_of(p) + F.col("p_size")) % 3 != 0)
     ways = F.create_map(*(x for k, p in enumerate(records.DESCRIPTORS) for x in (F.lit(p), F.when((F.col("p_size") + k) % 2 == 0, "Up").otherwise("lower"))))
     ids = F.col("p_partkey").cast("string"), F.translate("p_brand", "#", "_"), F.translate("p_name", " ", "_")
@@ -90,7 +90,7 @@ def candidate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def program_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = F.to_json(F.array(F.struct(F.lit("Mol Wt").alias("property"), F.when(F.col("p_size") % 2 == 0, "up").otherwise("lower").alias("direction"))))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "edit").otherwise("de_novo").alias("mode"), tasks.alias("tasks"), F.lit("1").alias("QED_active"), (F.col("p_size") / 8).cast("string").alias("target_QED"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", F.when(F.col("p_size") % 3 == 0, "edit").otherwise("de_novo").alias("mode"), tasks.alias("tasks"), F.lit("1").alias("QED_active"), (F.col("p_size") / 8).cast("string").alias("target_QED"))
     program = records.program_of(F.col("mode"), programs.from_instructions(F.col("tasks"), F.lit(None).cast("string"), F.lit(None).cast("string")), programs.from_controls(set(rows.columns)))
     return rows.select("p_partkey", "mode", programs.task_label(program).alias("label"))
 
